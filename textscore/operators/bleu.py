@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textscore.functions.text import gram_key_is_string, get_tokenizer, ngrams_of_order
+from textscore.functions.text import gram_key_is_string, get_tokenizer, with_ngram_levels
+from textscore.operators.partitioning import cluster_rows
 
 Tokenizer = str | Callable[[Column], Column]
 
@@ -48,15 +49,19 @@ RESULT_COLS = [
 
 
 def _explode_grams(df: DataFrame, keys: list[str], tokens: str, max_order: int, as_string: bool) -> DataFrame:
-    """T5 + marker: rows (keys..., n, gram, w).  n = 0 is one row per segment whose
+    """T5 + marker: rows (keys..., n, w, gram).  n = 0 is one row per segment whose
     weight is the token count; n >= 1 rows are grams with weight 1."""
-    orders = df.select(*keys, tokens, F.explode(F.sequence(F.lit(0), F.lit(max_order))).alias("n"))
+    levels = with_ngram_levels(df.select(*keys, tokens), tokens, max_order, as_string, prefix="_g")
     empty_gram = F.lit("") if as_string else F.array().cast("array<string>")
-    gram_arr = F.when(
-        F.col("n") == 0, F.array(empty_gram)
-    ).otherwise(ngrams_of_order(F.col(tokens), F.col("n"), as_string))
-    weight = F.when(F.col("n") == 0, F.size(tokens).cast("long")).otherwise(F.lit(1).cast("long"))
-    return orders.select(*keys, "n", weight.alias("w"), F.explode(gram_arr).alias("gram"))
+    stacked = F.array(
+        F.struct(F.lit(0).alias("n"), F.size(tokens).cast("long").alias("w"), F.array(empty_gram).alias("grams")),
+        *[
+            F.struct(F.lit(k).alias("n"), F.lit(1).cast("long").alias("w"), F.col(f"_g{k}").alias("grams"))
+            for k in range(1, max_order + 1)
+        ],
+    )
+    per_order = levels.select(*keys, F.inline(stacked))
+    return per_order.select(*keys, "n", "w", F.explode("grams").alias("gram"))
 
 
 def _order_sums(value: str, max_order: int) -> list[Column]:
@@ -145,7 +150,8 @@ def bleu_components(
 
 
 def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order, as_string) -> DataFrame:
-    rows = pairs.select(F.col(id_col).alias("_id"), *keys, pred_col, ref_col).repartition("_id")
+    # one exchange of raw pair rows on _id; every grouping below contains _id
+    rows = cluster_rows(pairs.select(F.col(id_col).alias("_id"), *keys, pred_col, ref_col), "_id")
     segs = rows.select(
         "_id",
         *keys,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textscore.functions.encode import attention_mask, pad_to, truncate_pad
 from textscore.functions.text import get_tokenizer
+from textscore.operators.partitioning import cluster_rows
 
 # Special tokens and their ids (pad first so ignore_index 0 is pad).
 SPECIAL_TOKENS = [("<pad>", 0), ("</s>", 1), ("<unk>", 2)]
@@ -93,7 +94,7 @@ def encode(
     c = F.col(text_col)
     rows = df.select(id_col, text_col)
     if repartition:
-        rows = rows.repartition(id_col)
+        rows = cluster_rows(rows, id_col)
     toks = rows.select(id_col, F.posexplode_outer(tok(F.lower(c) if lower else c)).alias("_pos", "token"))
     looked = toks.join(_vocab_lookup(vocab), "token", "left")
     ids = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_tid", F.lit(unk_id)).alias("_id")))
@@ -115,7 +116,7 @@ def decode(
     """Ids -> text, dropping special ids; rows of only specials give ''."""
     rows = df.select(id_col, ids_col)
     if repartition:
-        rows = rows.repartition(id_col)
+        rows = cluster_rows(rows, id_col)
     ex = rows.select(id_col, F.posexplode_outer(ids_col).alias("_pos", "_tid"))
     v = vocab.select(F.col("id").alias("_tid"), "token", "special")
     looked = ex.join(F.broadcast(v), "_tid", "left")
@@ -153,7 +154,7 @@ def encode_pairs(
     def t(c):
         return tok(F.lower(F.col(c)) if lower else F.col(c))
 
-    rows = df.select(id_col, *keep_cols, code_col, doc_col).repartition(id_col)
+    rows = cluster_rows(df.select(id_col, *keep_cols, code_col, doc_col), id_col)
     segs = rows.select(
         id_col,
         *keep_cols,

@@ -33,6 +33,7 @@ from textscore.operators import runs as R
 from textscore.operators.infer import argmax_predictor, predict_batches
 from textscore.plans import inputs as I
 from textscore.plans import sql as S
+from textscore.operators.partitioning import cluster_rows
 from textscore.operators.rows import merge_single_rows
 from textscore.sources import io as IO
 from textscore.session import scratch_path
@@ -265,7 +266,7 @@ FROM cnt GROUP BY n"""
 def q_j2(spark, d):
     """J2 + A3 + A4: multiset intersection per (pair, gram), clipped matches and
     possible matches summed per order."""
-    near = I.near(spark, d).repartition("id")
+    near = cluster_rows(I.near(spark, d), "id")
     segs = near.select(
         "id",
         F.inline(F.array(F.struct(F.lit(-1).alias("side"), tokenize_13a("pred").alias("t")), F.struct(F.lit(0).alias("side"), tokenize_13a("ref").alias("t")))),
