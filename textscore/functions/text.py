@@ -177,6 +177,13 @@ def with_ngram_levels(df, tokens: str, max_order: int, as_string: bool = True, p
     return out
 
 
+def explode_ngrams(df, keys: list[str], tokens: str, max_order: int, as_string: bool = True):
+    """T5 as rows ``(keys..., n, gram)`` for every n-gram of orders 1..max_order."""
+    levels = with_ngram_levels(df.select(*keys, tokens), tokens, max_order, as_string)
+    stacked = F.array(*[F.struct(F.lit(k).alias("n"), F.col(f"_g{k}").alias("grams")) for k in range(1, max_order + 1)])
+    return levels.select(*keys, F.inline(stacked)).select(*keys, "n", F.explode("grams").alias("gram"))
+
+
 def join_tokens(c: ColumnOrName, sep: str = " ", on_null: str = "raise") -> Column:
     """Join a token array with one space; null elements raise by default."""
     col = _col(c)

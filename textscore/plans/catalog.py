@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from textscore.functions.encode import argmax, attention_mask, truncate_pad
 from textscore.functions.text import (
-    get_tokenizer,
+    explode_ngrams,
     join_tokens,
-    ngrams_of_order,
     register_tokenizer,
     tokenize_13a,
     tokenize_re,
@@ -271,9 +270,7 @@ def q_j2(spark, d):
         "id",
         F.inline(F.array(F.struct(F.lit(-1).alias("side"), tokenize_13a("pred").alias("t")), F.struct(F.lit(0).alias("side"), tokenize_13a("ref").alias("t")))),
     )
-    grams = segs.select("id", "side", "t", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).select(
-        "id", "side", "n", F.explode(ngrams_of_order("t", "n")).alias("g")
-    )
+    grams = explode_ngrams(segs, ["id", "side"], "t", 4).withColumnRenamed("gram", "g")
     cnt = grams.groupBy("id", "n", "g").agg(
         F.count(F.when(F.col("side") < 0, 1)).alias("pc"), F.count(F.when(F.col("side") >= 0, 1)).alias("rc")
     )
@@ -294,9 +291,7 @@ SELECT id AS item_id, n, g AS gram, CAST(count(*) AS BIGINT) AS cnt FROM grams G
 def q_a1(spark, d):
     """T5 + A1: every n-gram (orders 1-4) of every benchmark passage with its count."""
     bench = I.table(spark, d, "benchmark").select(F.col("item_id"), tokenize_13a("text").alias("t"))
-    grams = bench.select("item_id", "t", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).select(
-        "item_id", "n", F.explode(ngrams_of_order("t", "n")).alias("gram")
-    )
+    grams = explode_ngrams(bench, ["item_id"], "t", 4)
     return grams.groupBy("item_id", "n", "gram").agg(F.count(F.lit(1)).alias("cnt")).select(
         "item_id", F.col("n").cast("long").alias("n"), "gram", "cnt"
     )
@@ -316,9 +311,7 @@ def q_a2(spark, d):
     reference), summarized per conversation and order."""
     _, refs = I.multi(spark, d)
     segs = refs.select("id", F.col("_ref_no").alias("side"), tokenize_13a("ref").alias("t"))
-    grams = segs.select("id", "side", "t", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).select(
-        "id", "side", "n", F.explode(ngrams_of_order("t", "n")).alias("g")
-    )
+    grams = explode_ngrams(segs, ["id", "side"], "t", 4).withColumnRenamed("gram", "g")
     per_ref = grams.groupBy("id", "side", "n", "g").agg(F.count(F.lit(1)).alias("c"))
     merged = per_ref.groupBy("id", "n", "g").agg(F.max("c").alias("c"))
     return merged.groupBy("id", "n").agg(
