@@ -27,6 +27,7 @@ from textscore.operators import batches as BT
 from textscore.operators import bleu as B
 from textscore.operators import checks as C
 from textscore.operators import encode as E
+from textscore.operators import evaluation as EV
 from textscore.operators import metrics as M
 from textscore.operators import runs as R
 from textscore.operators.infer import argmax_predictor, predict_batches
@@ -379,17 +380,17 @@ VOCAB_K = 1000
 BLOCK = 64
 
 
-def _vocab(spark, d, specials=E.SPECIAL_TOKENS):
-    return E.build_vocabulary(I.table(spark, d, "documents"), "text", VOCAB_K, lower=True, specials=specials)
+def _vocab(spark, d, specials=E.SPECIAL_TOKENS, k=VOCAB_K):
+    return E.build_vocabulary(I.table(spark, d, "documents"), "text", k, lower=True, specials=specials)
 
 
-def _vocab_sql(specials=E.SPECIAL_TOKENS) -> str:
+def _vocab_sql(specials=E.SPECIAL_TOKENS, k=VOCAB_K) -> str:
     sp = " UNION ALL ".join(f"SELECT '{t}' AS token, {i} AS id, true AS special, CAST(NULL AS BIGINT) AS freq" for t, i in specials)
     base = max(i for _, i in specials) + 1
     names = ", ".join(f"'{t}'" for t, _ in specials)
     return f"""words AS (SELECT unnest({S.tok_t1('lower(text)')}) AS token FROM documents),
 counts AS (SELECT token, count(*) AS freq FROM words WHERE token NOT IN ({names}) GROUP BY token),
-top AS (SELECT token, freq FROM counts ORDER BY freq DESC, token ASC LIMIT {VOCAB_K}),
+top AS (SELECT token, freq FROM counts ORDER BY freq DESC, token ASC LIMIT {k}),
 vocab AS ({sp} UNION ALL
   SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token ASC) - 1 + {base} AS INTEGER), false, freq FROM top)"""
 
@@ -583,6 +584,55 @@ def q_e10(spark, d):
     )
 
 
+# ============================================== evaluation loop
+SEQ_LEN = 8
+EVAL_BATCH = 8
+_EVAL_SQL = f"""WITH {_vocab_sql(k=61)},
+pos AS (SELECT vec_id // {SEQ_LEN} AS seq_id, vec_id % {SEQ_LEN} AS pos, embedding AS logits, label AS target FROM embeddings),
+lossrows AS (SELECT seq_id, pos, target, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred_id,
+                    list_max(list_transform(logits, lambda x: CAST(x AS DOUBLE))) AS m,
+                    list_transform(logits, lambda x: CAST(x AS DOUBLE)) AS l FROM pos),
+scored AS (SELECT seq_id, pos, target, pred_id,
+                  CASE WHEN target <> 0 THEN m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[target + 1] END AS loss
+           FROM lossrows),
+seqs AS (SELECT seq_id, CAST((dense_rank() OVER (ORDER BY seq_id) - 1) // {EVAL_BATCH} AS BIGINT) AS batch_id
+         FROM (SELECT DISTINCT seq_id FROM scored)),
+gen AS (SELECT s.seq_id, coalesce(string_agg(v.token, ' ' ORDER BY s.pos) FILTER (WHERE NOT v.special), '') AS pred
+        FROM scored s LEFT JOIN vocab v ON v.id = s.pred_id GROUP BY s.seq_id),
+act AS (SELECT s.seq_id, coalesce(string_agg(v.token, ' ' ORDER BY s.pos) FILTER (WHERE NOT v.special), '') AS ref
+        FROM scored s LEFT JOIN vocab v ON v.id = s.target GROUP BY s.seq_id),
+epairs AS (SELECT g.seq_id AS id, q.batch_id, g.pred, a.ref FROM gen g JOIN act a USING (seq_id) JOIN seqs q USING (seq_id)),
+erefs AS (SELECT id, 0 AS ref_no, ref FROM epairs),
+{S.bleu_ctes("bl0 AS (SELECT 1)", "epairs", "erefs", group_cols=["batch_id"], smooth=True, weight=2).replace("bl0 AS (SELECT 1),", "", 1)},
+em AS (SELECT batch_id, avg(CASE WHEN lower(pred) = lower(ref) THEN 1.0 ELSE 0.0 END) AS em FROM epairs GROUP BY batch_id),
+bloss AS (SELECT q.batch_id, avg(s.loss) AS loss FROM scored s JOIN seqs q USING (seq_id) GROUP BY q.batch_id)
+SELECT round(avg(loss), 6) AS eval_loss, round(coalesce(avg(geo * bp), 0.0), 6) AS eval_bleu_score,
+       round(coalesce(avg(em), 0.0), 6) AS eval_EM_score, CAST(count(*) AS BIGINT) AS batches
+FROM bloss FULL JOIN em USING (batch_id) LEFT JOIN fin USING (batch_id)"""
+
+
+@register("a7_evaluate_batches", _EVAL_SQL)
+def q_evaluate(spark, d):
+    """The evaluation loop: embeddings read as 8-position sequences of logits
+    (label = target id), argmax predictions and targets decoded through a
+    64-entry vocabulary, then per batch of 8 sequences: smoothed BLEU with
+    pairs counted twice, exact match and masked loss; means over batches."""
+    emb = I.table(spark, d, "embeddings")
+    positions = emb.select(
+        F.floor(F.col("vec_id") / SEQ_LEN).cast("long").alias("seq_id"),
+        (F.col("vec_id") % SEQ_LEN).cast("int").alias("pos"),
+        F.col("embedding").alias("logits"),
+        F.col("label").alias("target"),
+    )
+    out = EV.evaluate(positions, _vocab(spark, d, k=61), EVAL_BATCH)
+    return out.select(
+        F.round("eval_loss", 6).alias("eval_loss"),
+        F.round("eval_bleu_score", 6).alias("eval_bleu_score"),
+        F.round("eval_EM_score", 6).alias("eval_EM_score"),
+        F.col("batches").cast("long").alias("batches"),
+    )
+
+
 # ================================================================ U2
 @register(
     "u2_batch_prediction",
