@@ -118,3 +118,17 @@ def test_global_steps_and_running_loss(spark):
     assert [r.global_step for r in g] == list(range(1, 13))
     rl = R.running_loss(df).where("epoch = 1").orderBy("step").collect()
     assert [r.avg_loss for r in rl] == [11.0, 11.5, 12.0, 12.5]
+
+
+def test_quantile_buckets_balance_clustered_keys(spark):
+    # dense block of ids plus a few far outliers: equal-width buckets would put
+    # nearly every row in bucket 0, quantile buckets stay balanced
+    keys = list(range(5000)) + [10**12, 10**12 + 5, 2 * 10**12]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    b = O.with_quantile_bucket(df, "k", num_buckets=16)
+    sizes = [r["count"] for r in b.groupBy("_bkt").count().collect()]
+    assert max(sizes) < 3 * len(keys) / 16
+    rows = sorted(b.collect(), key=lambda r: r.k)
+    assert all(a._bkt <= c._bkt for a, c in zip(rows, rows[1:]))
+    got = {r.k: r.rn for r in O.row_number_by(df, ["k"]).collect()}
+    assert all(got[k] == i + 1 for i, k in enumerate(sorted(keys)))

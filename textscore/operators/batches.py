@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textscore.operators.ordering import md5_bucket, range_bucket, row_number_by
+from textscore.operators.ordering import md5_bucket, row_number_by
 
 
 def shuffle_key(id_col: str, seed: int):
@@ -26,7 +26,7 @@ def assign_batches(
     """``position`` (1-based, shuffled or by id) and ``batch_id`` = (position-1) div size.
 
     The last batch may be partial.  The numbering is a bucketed row number
-    (md5 prefix buckets when shuffled, id ranges otherwise), never a global
+    (md5 prefix buckets when shuffled, id quantile ranges otherwise), never a global
     window in one task.
     """
     if shuffle:
@@ -34,7 +34,7 @@ def assign_batches(
         numbered = row_number_by(x, ["_order"], partition_cols, bucket=md5_bucket(F.col("_order")), out_col="position")
         numbered = numbered.drop("_order")
     else:
-        numbered = row_number_by(df, [id_col], partition_cols, bucket=range_bucket(df, id_col), out_col="position")
+        numbered = row_number_by(df, [id_col], partition_cols, out_col="position")
     return numbered.withColumn("batch_id", F.floor((F.col("position") - 1) / F.lit(batch_size)).cast("long"))
 
 

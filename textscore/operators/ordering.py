@@ -29,15 +29,18 @@ def _numeric_key(df: DataFrame, order_col: str) -> Column:
     raise TypeError(f"range buckets need a numeric, date or timestamp key; got {dt} for {order_col}")
 
 
+def _default_buckets(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def range_bucket(df: DataFrame, order_col: str, num_buckets: int | None = None) -> Column:
     """Equal-width bucket of a numeric/temporal key, monotone in the key.
 
-    Bounds come from one aggregate row (min, max); the bucket count defaults to
-    four per shuffle partition so each window partition stays small.
+    Bounds come from one aggregate row (min, max).  Each bucket holds at most
+    ``width`` distinct keys, but a clustered key space puts most rows in few
+    buckets; :func:`with_quantile_bucket` is the skew-proof choice.
     """
-    spark = df.sparkSession
-    if num_buckets is None:
-        num_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    num_buckets = num_buckets or _default_buckets(df)
     key = _numeric_key(df, order_col)
     row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     if row is None or row["lo"] is None:
@@ -47,6 +50,26 @@ def range_bucket(df: DataFrame, order_col: str, num_buckets: int | None = None)
     return F.floor((key - F.lit(lo)) / F.lit(width)).cast("long")
 
 
+def with_quantile_bucket(df: DataFrame, order_col: str, out_col: str = "_bkt", num_buckets: int | None = None) -> DataFrame:
+    """Add a bucket column from approximate quantiles of the order key.
+
+    Boundaries are ``num_buckets - 1`` approximate quantiles (relative error
+    1/(4 * num_buckets)), so every bucket holds about the same number of rows
+    whatever the key distribution; only ties of one key value share a bucket.
+    The bucket is found by binary search (``Bucketizer``, JVM-side) and is
+    non-decreasing in the key.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    num_buckets = num_buckets or _default_buckets(df)
+    x = df.withColumn("_qkey", _numeric_key(df, order_col).cast("double"))
+    probs = [i / num_buckets for i in range(1, num_buckets)]
+    qs = x.approxQuantile("_qkey", probs, 1.0 / (4 * num_buckets)) if probs else []
+    splits = [float("-inf"), *sorted(set(q for q in qs if q is not None)), float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_qkey", outputCol=out_col, handleInvalid="keep")
+    return b.transform(x).withColumn(out_col, F.col(out_col).cast("long")).drop("_qkey")
+
+
 def md5_bucket(key: Column, hex_digits: int = 3) -> Column:
     """Bucket of an md5 hex order key: its first hex digits (4,096 buckets for 3)."""
     return F.conv(F.substring(key, 1, hex_digits), 16, 10).cast("long")
@@ -62,14 +85,13 @@ def row_number_by(
     """``row_number() over (partition by P order by O)`` computed bucket by bucket.
 
     ``bucket`` must be non-decreasing in the order key within a partition
-    (default: equal-width range bucket of the first order column).  The order
-    key should be unique within a partition, as for any deterministic numbering.
+    (default: approximate-quantile bucket of the first order column).  The
+    order key should be unique within a partition, as for any deterministic
+    numbering.
     """
     pcols = list(partition_cols)
     ocols = list(order_cols)
-    if bucket is None:
-        bucket = range_bucket(df, ocols[0])
-    x = df.withColumn("_bkt", bucket)
+    x = with_quantile_bucket(df, ocols[0]) if bucket is None else df.withColumn("_bkt", bucket)
     w = Window.partitionBy(*pcols, "_bkt").orderBy(*ocols)
     numbered = x.withColumn("_rb", F.row_number().over(w))
     counts = x.groupBy(*pcols, "_bkt").agg(F.count(F.lit(1)).alias("_nb"))
@@ -93,9 +115,8 @@ def order_violations(
     ``first_value`` and ``last_value`` (by position).
     """
     pcols = list(partition_cols)
-    if bucket is None:
-        bucket = range_bucket(df, pos_col)
-    x = df.select(*pcols, pos_col, value_col).withColumn("_bkt", bucket)
+    base = df.select(*pcols, pos_col, value_col)
+    x = with_quantile_bucket(base, pos_col) if bucket is None else base.withColumn("_bkt", bucket)
     w = Window.partitionBy(*pcols, "_bkt").orderBy(pos_col)
     inner = x.withColumn("_prev", F.lag(value_col).over(w))
     inner_v = inner.groupBy(*pcols, "_bkt").agg(
