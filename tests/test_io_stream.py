@@ -87,3 +87,16 @@ def test_stream_equals_batch(spark):
     b = corpus_bleu(pairs).first()
     assert s.bleu_score == pytest.approx(b.bleu_score, abs=1e-12) and s.pairs == b.pairs
     assert spark.read.parquet(state).select("mb").distinct().count() >= 2
+
+
+def test_strict_jsonl_skips_unicode_blank_lines(spark):
+    d = tempfile.mkdtemp(prefix="jsonl-strict-")
+    p = os.path.join(d, "a.jsonl")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write('{"code_tokens": ["a"], "docstring_tokens": ["b"]}\n \n　 \n {"code_tokens": [], "docstring_tokens": []} \n')
+    assert IO.read_jsonl_strict(spark, p, IO.REVIEW_SCHEMA).count() == 2
+    bad = os.path.join(d, "b.jsonl")
+    with open(bad, "w", encoding="utf-8") as f:
+        f.write('{"code_tokens": ["a"]}\n{broken\n')
+    with pytest.raises(Exception):
+        IO.read_jsonl_strict(spark, bad, IO.REVIEW_SCHEMA).collect()

@@ -835,6 +835,32 @@ def q_s1(spark, d):
     return IO.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
 
 
+@register(
+    "s1_review_records_strict",
+    """SELECT doc_id, md5(array_to_string(w[1:len(w) // 2], ' ')) AS code_digest,
+       md5(array_to_string(w[len(w) // 2 + 1:len(w)], ' ')) AS docstring_digest, CAST(len(w) AS BIGINT) AS n_tokens
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""",
+)
+def q_s1_review(spark, d):
+    """S2 -> S1 (strict blank-line rule) -> P1: documents written as review
+    records (first half of the words as code tokens, the rest as docstring
+    tokens), loaded back with an explicit schema and joined to text."""
+    docs = I.table(spark, d, "documents")
+    w = F.split("text", " ")
+    half = (F.size(w) / 2).cast("int")
+    records = docs.select(
+        "doc_id", F.slice(w, F.lit(1), half).alias("code_tokens"), F.slice(w, half + 1, F.size(w)).alias("docstring_tokens")
+    )
+    path = scratch_path(spark, "review-jsonl")
+    IO.write_jsonl(records, path)
+    back = IO.read_jsonl_strict(spark, path, "doc_id long, code_tokens array<string>, docstring_tokens array<string>")
+    n = (F.size("code_tokens") + F.size("docstring_tokens")).cast("long")
+    joined = IO.join_token_columns(back.withColumn("n_tokens", n))
+    return joined.select(
+        "doc_id", F.md5("code_tokens").alias("code_digest"), F.md5("docstring_tokens").alias("docstring_digest"), "n_tokens"
+    )
+
+
 @register(
     "s3_split_sources",
     f"""SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(n_tokens) AS BIGINT) AS tokens

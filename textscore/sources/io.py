@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textscore.functions.text import join_tokens
+from textscore.functions.text import WHITESPACE_CLASS, join_tokens
 
 # Review record as its token arrays are used (other columns pass through when
 # a wider schema is given).
@@ -38,6 +38,16 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return spark.read.schema(schema).option("mode", "FAILFAST").option("encoding", "UTF-8").json(path)
 
 
+def read_jsonl_strict(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
+    """S1 with the reference's blank-line rule: a line that is empty after
+    stripping *Unicode* whitespace (e.g. only a no-break space) is skipped;
+    every other line must be one JSON value or the job fails."""
+    ws = WHITESPACE_CLASS
+    line = F.regexp_replace(F.col("value"), f"^{ws}+|{ws}+$", "")
+    lines = spark.read.text(path).select(line.alias("_line")).where(F.col("_line") != "")
+    return lines.select(F.from_json("_line", schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per line, non-ASCII kept as is, null fields kept."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

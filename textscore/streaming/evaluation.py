@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textscore.operators.bleu import bleu_components, bleu_finalize, merge_components
 from textscore.operators.metrics import exact_match_flag
+from textscore.operators.rows import merge_single_rows
 
 
 def _score_batch(batch: DataFrame, group_cols, tokenizer, max_order) -> DataFrame:
@@ -29,8 +30,8 @@ def _score_batch(batch: DataFrame, group_cols, tokenizer, max_order) -> DataFram
 
 
 def _attach(comp: DataFrame, em: DataFrame) -> DataFrame:
-    # both sides have exactly one row (global aggregates); join on a constant key
-    return comp.withColumn("_k", F.lit(1)).join(em.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # both sides are global aggregates (one row each): put them side by side
+    return merge_single_rows(comp, em)
 
 
 def start_stream(
