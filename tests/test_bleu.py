@@ -116,3 +116,21 @@ def test_pairing_reports_unmatched(spark):
     assert (paired.count(), lp.count(), lr.count()) == (1, 1, 1)
     got = _one(B.corpus_bleu(p, r, tokenizer="whitespace"))
     assert got.pairs == 1 and got.bleu_score == 0.0 or got.pairs == 1
+
+
+def test_pandas_udf_tokenizer_uses_array_grams(spark):
+    import pandas as pd
+
+    from textscore.functions.text import gram_key_is_string, register_tokenizer
+
+    @F.pandas_udf("array<string>")
+    def py_split(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t.split())
+
+    register_tokenizer("py_split", py_split)  # not declared space-safe
+    assert not gram_key_is_string("py_split")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select(F.col("doc_id").alias("id"), F.regexp_replace("text", "a", "e").alias("pred"), F.col("text").alias("ref"))
+    a = _one(B.corpus_bleu(rows, tokenizer="py_split"))
+    b = _one(B.corpus_bleu(rows, tokenizer="whitespace"))
+    assert a.bleu_score == pytest.approx(b.bleu_score, abs=1e-12) and a.translation_length == b.translation_length

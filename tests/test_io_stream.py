@@ -100,3 +100,18 @@ def test_strict_jsonl_skips_unicode_blank_lines(spark):
         f.write('{"code_tokens": ["a"]}\n{broken\n')
     with pytest.raises(Exception):
         IO.read_jsonl_strict(spark, bad, IO.REVIEW_SCHEMA).collect()
+
+
+def test_micro_batch_replay_is_idempotent(spark):
+    from textscore.streaming.evaluation import current_scores, score_micro_batch
+
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    pairs = docs.select(F.col("doc_id").alias("id"), F.regexp_replace("text", "o", "0").alias("pred"), F.col("text").alias("ref"))
+    a, b = pairs.where("id < 100"), pairs.where("id >= 100")
+    state = scratch_path(spark, "t-replay")
+    score_micro_batch(a, 0, state)
+    score_micro_batch(b, 1, state)
+    once = current_scores(spark, state).first()
+    score_micro_batch(b, 1, state)  # replayed after a failure
+    twice = current_scores(spark, state).first()
+    assert once.bleu_score == twice.bleu_score and once.pairs == twice.pairs == pairs.count()

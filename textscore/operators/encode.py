@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textscore.functions.encode import attention_mask, pad_to, truncate_pad
 from textscore.functions.text import get_tokenizer
+from textscore.sources.io import to_encoded_layout
 from textscore.operators.partitioning import cluster_rows
 
 # Special tokens and their ids (pad first so ignore_index 0 is pad).
@@ -170,14 +171,18 @@ def encode_pairs(
         F.max(F.when(F.col("_side") == 0, F.col("_ids"))).alias("code_ids"),
         F.max(F.when(F.col("_side") == 1, F.col("_ids"))).alias("docs_ids"),
     )
-    return both.select(
+    padded = both.select(
         id_col,
         *keep_cols,
-        truncate_pad("code_ids", block_size, pad_id).alias("input_ids"),
+        truncate_pad("code_ids", block_size, pad_id).alias("_code_padded"),
         attention_mask("code_ids", block_size).alias("code_attention_mask"),
-        truncate_pad("docs_ids", block_size, pad_id).alias("target_ids"),
+        truncate_pad("docs_ids", block_size, pad_id).alias("_docs_padded"),
         attention_mask("docs_ids", block_size).alias("docs_attention_mask"),
     )
+    # Drop the unpadded sequences, rename to the encoded layout
+    return to_encoded_layout(
+        padded.drop("code_ids", "docs_ids"), {"_code_padded": "input_ids", "_docs_padded": "target_ids"}
+    ).select(id_col, *keep_cols, "input_ids", "code_attention_mask", "target_ids", "docs_attention_mask")
 
 
 def pad_batches(df: DataFrame, batch_col: str, ids_col: str, pad_id: int = 0, out_col: str | None = None) -> DataFrame:

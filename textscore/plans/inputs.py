@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textscore.operators.ordering import row_number_by
+from textscore.operators.partitioning import spread_small_input
 from textscore.session import table_path
 
 STEPS_PER_EPOCH = 25
@@ -28,7 +29,8 @@ NUM_RUNS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """A given table; spread over the cores when its scan has fewer splits."""
+    return spread_small_input(spark.read.parquet(table_path(sf_dir, name)))
 
 
 # ----------------------------------------------------------------- PAIRS

@@ -34,6 +34,20 @@ def _attach(comp: DataFrame, em: DataFrame) -> DataFrame:
     return merge_single_rows(comp, em)
 
 
+def score_micro_batch(
+    batch: DataFrame,
+    batch_id: int,
+    state_path: str,
+    group_cols: Sequence[str] = (),
+    tokenizer: str = "13a",
+    max_order: int = 4,
+) -> None:
+    """Write one micro-batch's partial state under ``mb=<batch_id>``; a replay of
+    the same batch id replaces that folder, so it is never counted twice."""
+    part = _score_batch(batch, list(group_cols), tokenizer, max_order).withColumn("mb", F.lit(batch_id))
+    part.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/mb={batch_id}")
+
+
 def start_stream(
     spark: SparkSession,
     source_path: str,
@@ -54,9 +68,7 @@ def start_stream(
     stream = reader.load(source_path)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        part = _score_batch(batch, list(group_cols), tokenizer, max_order).withColumn("mb", F.lit(batch_id))
-        # idempotent replay: this micro-batch's folder is replaced as a whole
-        part.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/mb={batch_id}")
+        score_micro_batch(batch, batch_id, state_path, group_cols, tokenizer, max_order)
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
