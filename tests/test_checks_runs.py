@@ -132,3 +132,15 @@ def test_quantile_buckets_balance_clustered_keys(spark):
     assert all(a._bkt <= c._bkt for a, c in zip(rows, rows[1:]))
     got = {r.k: r.rn for r in O.row_number_by(df, ["k"]).collect()}
     assert all(got[k] == i + 1 for i, k in enumerate(sorted(keys)))
+
+
+def test_half_even_rounding_option(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([("r", 0, 1, Decimal("0.000015")), ("r", 0, 2, Decimal("0.000025"))], "run string, epoch int, step long, loss decimal(12,6)")
+    up = [r.avg_loss for r in R.running_loss(df).orderBy("step").collect()]
+    even = [r.avg_loss for r in R.running_loss(df, half_even=True).orderBy("step").collect()]
+    assert [float(x) for x in up] == [0.00002, 0.00002] and [float(x) for x in even] == [0.00002, 0.00002]
+    ties = spark.createDataFrame([("r", 0, 1, Decimal("0.000025"))], "run string, epoch int, step long, loss decimal(12,6)")
+    assert float(R.running_loss(ties).first().avg_loss) == 0.00003
+    assert float(R.running_loss(ties, half_even=True).first().avg_loss) == 0.00002

@@ -73,3 +73,19 @@ def test_batch_predictor_matches_argmax(spark):
 def test_eval_report_sorted(spark):
     df = spark.createDataFrame([(0.123456, 2.0)], "eval_loss double, eval_bleu_score double")
     assert [(r.metric, r.value) for r in M.eval_report(df).collect()] == [("eval_bleu_score", 2.0), ("eval_loss", 0.1235)]
+
+
+def test_effective_block_size():
+    from textscore.functions.encode import effective_block_size
+
+    assert effective_block_size(0, 512) == 512
+    assert effective_block_size(1024, 512) == 512
+    assert effective_block_size(1024, 512, cap=False) == 1024
+    assert effective_block_size(256, 512) == 256
+
+
+def test_truncate_with_end_token(spark):
+    df = spark.createDataFrame([([5, 6, 7, 8, 9],), ([5],)], "ids array<int>")
+    r = df.select(truncate_pad("ids", 4, 0, eos_id=1).alias("x"), attention_mask("ids", 4, eos_id=1).alias("m")).collect()
+    assert r[0].x == [5, 6, 7, 1] and r[0].m == [1, 1, 1, 1]
+    assert r[1].x == [5, 1, 0, 0] and r[1].m == [1, 1, 0, 0]

@@ -14,22 +14,38 @@ from pyspark.sql import functions as F
 from textscore.operators.ordering import row_number_by
 
 
+def _round(c, decimals: int, half_even: bool) -> Column:
+    """Half-up by default; ``half_even`` rounds exact ties to even as Python's
+    ``round`` does on exactly representable values."""
+    return F.bround(c, decimals) if half_even else F.round(c, decimals)
+
+
 def global_steps(steps: DataFrame, run_col: str = "run", epoch_col: str = "epoch", step_col: str = "step", out_col: str = "global_step") -> DataFrame:
     """1-based step number across epochs, per run (bucketed by epoch)."""
     return row_number_by(steps, [epoch_col, step_col], [run_col], bucket=F.col(epoch_col).cast("long"), out_col=out_col)
 
 
-def epoch_mean_loss(steps: DataFrame, run_col: str = "run", epoch_col: str = "epoch", loss_col: str = "loss", decimals: int = 5) -> DataFrame:
+def epoch_mean_loss(
+    steps: DataFrame, run_col: str = "run", epoch_col: str = "epoch", loss_col: str = "loss", decimals: int = 5, half_even: bool = False
+) -> DataFrame:
     """A10: mean training loss per epoch, rounded."""
     return steps.groupBy(run_col, epoch_col).agg(
-        F.round(F.avg(loss_col), decimals).alias("train_loss"), F.count(F.lit(1)).alias("steps")
+        _round(F.avg(loss_col), decimals, half_even).alias("train_loss"), F.count(F.lit(1)).alias("steps")
     )
 
 
-def running_loss(steps: DataFrame, run_col: str = "run", epoch_col: str = "epoch", step_col: str = "step", loss_col: str = "loss", decimals: int = 5) -> DataFrame:
+def running_loss(
+    steps: DataFrame,
+    run_col: str = "run",
+    epoch_col: str = "epoch",
+    step_col: str = "step",
+    loss_col: str = "loss",
+    decimals: int = 5,
+    half_even: bool = False,
+) -> DataFrame:
     """Running mean loss inside an epoch."""
     w = Window.partitionBy(run_col, epoch_col).orderBy(step_col).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("avg_loss", F.round(F.avg(loss_col).over(w), decimals))
+    return steps.withColumn("avg_loss", _round(F.avg(loss_col).over(w), decimals, half_even))
 
 
 def interval_perplexity(
@@ -39,6 +55,7 @@ def interval_perplexity(
     global_step_col: str = "global_step",
     loss_col: str = "loss",
     decimals: int = 4,
+    half_even: bool = False,
 ) -> DataFrame:
     """exp(mean loss since the last logging boundary).
 
@@ -49,7 +66,7 @@ def interval_perplexity(
     interval = F.floor((g - 1) / F.lit(logging_steps)) if logging_steps > 0 else F.lit(0)
     x = steps.withColumn("_iv", interval.cast("long"))
     w = Window.partitionBy(run_col, "_iv").orderBy(global_step_col).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("perplexity", F.round(F.exp(F.avg(loss_col).over(w)), decimals)).drop("_iv")
+    return x.withColumn("perplexity", _round(F.exp(F.avg(loss_col).over(w)), decimals, half_even)).drop("_iv")
 
 
 def _improved(col: str, w_prior: Window) -> Column:
