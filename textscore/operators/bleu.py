@@ -154,7 +154,6 @@ def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order,
     rows = cluster_rows(pairs.select(F.col(id_col).alias("_id"), *keys, pred_col, ref_col), "_id")
     segs = rows.select(
         "_id",
-        *keys,
         F.inline(
             F.array(
                 F.struct(F.lit(-1).alias("_side"), tok(F.col(pred_col)).alias("_tok")),
@@ -162,26 +161,36 @@ def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order,
             )
         ),
     )
-    grams = _explode_grams(segs, ["_id", *keys, "_side"], "_tok", max_order, as_string)
-    # every key below contains _id, so this aggregation needs no further exchange
-    merged = grams.groupBy(*keys, "_id", "n", "gram").agg(
+    grams = _explode_grams(segs, ["_id", "_side"], "_tok", max_order, as_string)
+    # keyed on (_id, n, gram) only: group columns depend on _id and stay out of
+    # the widest aggregation
+    merged = grams.groupBy("_id", "n", "gram").agg(
         F.sum(F.when(F.col("_side") < 0, F.col("w")).otherwise(0)).alias("pc"),
         F.sum(F.when(F.col("_side") >= 0, F.col("w")).otherwise(0)).alias("rc"),
     )
     clipped = merged.select(
-        *keys,
+        "_id",
         "n",
         F.col("pc"),
         F.least("pc", "rc").alias("clip"),
         F.when(F.col("n") == 0, F.col("pc")).alias("tl"),
         F.when(F.col("n") == 0, F.col("rc")).alias("rl"),
     )
+    if keys:
+        # one row per pair, then the group columns from the same clustered rows:
+        # both sides are hash-partitioned on _id by the one exchange above
+        per_id = clipped.groupBy("_id").agg(
+            F.max("tl").alias("tl"), F.max("rl").alias("rl"), *_order_sums("clip", max_order), *_order_sums("pc", max_order)
+        )
+        clipped = per_id.join(rows.select("_id", *keys), "_id").withColumn("n", F.lit(0))
+        sums = [F.sum(f"_{v}{k}").alias(f"_{v}{k}") for v in ("clip", "pc") for k in range(1, max_order + 1)]
+    else:
+        sums = [*_order_sums("clip", max_order), *_order_sums("pc", max_order)]
     agg = clipped.groupBy(*keys).agg(
         F.count(F.when(F.col("n") == 0, F.lit(1))).alias("pairs"),
         F.coalesce(F.sum("tl"), F.lit(0)).cast("long").alias("translation_length"),
         F.coalesce(F.sum("rl"), F.lit(0)).cast("long").alias("reference_length"),
-        *_order_sums("clip", max_order),
-        *_order_sums("pc", max_order),
+        *sums,
     )
     return _as_arrays(agg, keys, max_order, ["pairs", "translation_length", "reference_length"])
 
