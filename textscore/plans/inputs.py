@@ -10,8 +10,9 @@ MULTI  per conversation the first assistant turn is the prediction and the
 RUNLOG events as a training log: run = user_id % 20, step = 1-based position
        by event_id within the run, epoch = (step - 1) div 25, loss = value / 100
        (kept in a realistic range so exp(loss) stays far from overflow);
-       epoch metrics bleu / em = mean value / 100 of click / view events (0
-       when none).
+       epoch metrics bleu / em = mean value / 100 of click / view events,
+       rounded half-up to 6 decimals in integer arithmetic (0 when none), so
+       both engines produce the same doubles.
 LOGITS embeddings as logits (64 wide) with label as target.
 """
 
@@ -121,11 +122,22 @@ def exact_mean5_sql(sum_c: str, n: str) -> str:
 CENTS_SQL = "CAST(round(value * 100) AS BIGINT)"
 
 
+def _exact_mean6(sum_c: str, n: str):
+    # mean of c / 10000 rounded half-up to 6 decimals: (200 * sum_c + n) div (2 * n) / 1e6
+    return F.coalesce(F.expr(f"CAST((200 * {sum_c} + {n}) div (2 * {n}) AS DOUBLE) / 1000000.0"), F.lit(0.0))
+
+
 def runlog_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = runlog_steps(spark, sf_dir)
-    return steps.groupBy("run", "epoch").agg(
-        F.coalesce(F.avg(F.when(F.col("event_type") == "click", F.col("value") / 100.0)), F.lit(0.0)).alias("bleu"),
-        F.coalesce(F.avg(F.when(F.col("event_type") == "view", F.col("value") / 100.0)), F.lit(0.0)).alias("em"),
+    cents = F.round(F.col("value") * 100).cast("long")
+    sums = steps.groupBy("run", "epoch").agg(
+        F.sum(F.when(F.col("event_type") == "click", cents)).alias("_bc"),
+        F.count(F.when(F.col("event_type") == "click", 1)).alias("_bn"),
+        F.sum(F.when(F.col("event_type") == "view", cents)).alias("_ec"),
+        F.count(F.when(F.col("event_type") == "view", 1)).alias("_en"),
+    )
+    return sums.select(
+        "run", "epoch", _exact_mean6("_bc", "nullif(_bn, 0)").alias("bleu"), _exact_mean6("_ec", "nullif(_en, 0)").alias("em")
     )
 
 
@@ -135,11 +147,18 @@ RUNLOG_SQL = f"""steps AS (
          row_number() OVER (PARTITION BY user_id % {NUM_RUNS} ORDER BY event_id) AS step,
          value / 100.0 AS loss, event_type, value, event_id
   FROM events),
+epoch_sums AS (
+  SELECT run, epoch,
+         sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'click') AS bc,
+         nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS bn,
+         sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'view') AS ec,
+         nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS en
+  FROM steps GROUP BY run, epoch),
 epochs AS (
   SELECT run, epoch,
-         coalesce(avg(value / 100.0) FILTER (WHERE event_type = 'click'), 0.0) AS bleu,
-         coalesce(avg(value / 100.0) FILTER (WHERE event_type = 'view'), 0.0) AS em
-  FROM steps GROUP BY run, epoch)"""
+         coalesce(CAST((200 * bc + bn) // (2 * bn) AS DOUBLE) / 1000000.0, 0.0) AS bleu,
+         coalesce(CAST((200 * ec + en) // (2 * en) AS DOUBLE) / 1000000.0, 0.0) AS em
+  FROM epoch_sums)"""
 
 
 # ---------------------------------------------------------------- LOGITS
