@@ -16,8 +16,9 @@ DATE_PATTERN = "y-M-d'T'H:m:s'Z'"
 
 
 def parse_date(c: Column, pattern: str = DATE_PATTERN) -> Column:
-    """Parse once into a timestamp; an unparsable value fails the job (ANSI)."""
-    return F.to_timestamp(c, pattern)
+    """Parse once into a zone-less timestamp (the reference compares naive
+    datetimes); an unparsable value fails the job (ANSI)."""
+    return F.to_timestamp_ntz(c, F.lit(pattern))
 
 
 def _as_ts(df: DataFrame, date_col: str, pattern: str) -> Column:

@@ -18,10 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def epoch_micros(c: Column, dt: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 00:00:00; for TIMESTAMP_NTZ independent of
+    the session time zone (no cast through a zone)."""
+    if isinstance(dt, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return F.unix_micros(c)
+
+
 def _numeric_key(df: DataFrame, order_col: str) -> Column:
     dt = df.schema[order_col].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(order_col).cast("timestamp"))
+        return epoch_micros(F.col(order_col), dt)
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(order_col))
     if isinstance(dt, T.NumericType):

@@ -31,6 +31,7 @@ from textscore.operators import evaluation as EV
 from textscore.operators import metrics as M
 from textscore.operators import runs as R
 from textscore.operators.infer import argmax_predictor, predict_batches
+from textscore.operators.ordering import epoch_micros
 from textscore.plans import inputs as I
 from textscore.plans import sql as S
 from textscore.operators.partitioning import cluster_rows
@@ -690,17 +691,20 @@ SELECT CASE WHEN tv > 0 THEN 'train_unsorted' WHEN sv > 0 THEN 'test_unsorted' W
 
 def _leak(df, pos, date, split_col="split"):
     r = C.leak_check(df, pos, date, split_col)
+    dt = r.schema["train_last_date"].dataType
     return r.select(
         "ok", "reason", "train_violations", "test_violations",
-        F.unix_micros(F.col("train_last_date").cast("timestamp")).alias("train_last_us"),
-        F.unix_micros(F.col("test_first_date").cast("timestamp")).alias("test_first_us"),
+        epoch_micros(F.col("train_last_date"), dt).alias("train_last_us"),
+        epoch_micros(F.col("test_first_date"), dt).alias("test_first_us"),
     )
 
 
 @register("w2_leak_events", _leak_sql("events", "event_id", "ts", "CASE WHEN ts < TIMESTAMP '2024-01-25' THEN 'train' ELSE 'test' END"))
 def q_w2_events(spark, d):
     """Events split in time (train before 2024-01-25): no leak."""
-    ev = I.table(spark, d, "events").withColumn("split", F.when(F.col("ts") < F.lit("2024-01-25").cast("timestamp"), "train").otherwise("test"))
+    ev = I.table(spark, d, "events")
+    cutoff = F.lit("2024-01-25 00:00:00").cast(ev.schema["ts"].dataType)
+    ev = ev.withColumn("split", F.when(F.col("ts") < cutoff, "train").otherwise("test"))
     return _leak(ev, "event_id", "ts")
 
 
