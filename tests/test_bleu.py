@@ -134,3 +134,26 @@ def test_pandas_udf_tokenizer_uses_array_grams(spark):
     a = _one(B.corpus_bleu(rows, tokenizer="py_split"))
     b = _one(B.corpus_bleu(rows, tokenizer="whitespace"))
     assert a.bleu_score == pytest.approx(b.bleu_score, abs=1e-12) and a.translation_length == b.translation_length
+
+
+def test_hot_id_with_many_references(spark):
+    # one prediction owns most of the references (a third of all rows or more)
+    rng = random.Random(11)
+    vocab = "a b c d e f g . ,".split()
+
+    def seg(k):
+        return " ".join(rng.choice(vocab) for _ in range(k))
+
+    preds = {i: seg(rng.randint(3, 10)) for i in range(30)}
+    refs = [(0, j, seg(rng.randint(2, 12))) for j in range(600)]
+    refs += [(i, 0, seg(rng.randint(2, 12))) for i in range(1, 30)]
+    pdf = spark.createDataFrame(list(preds.items()), "id long, pred string")
+    rdf = spark.createDataFrame(refs, "id long, _ref_no long, ref string").repartition(8)
+    got = _one(B.corpus_bleu(pdf, rdf, smooth=True))
+    by_id = {}
+    for i, _, r in refs:
+        by_id.setdefault(i, []).append(pyref.tok_13a(r))
+    ids = sorted(preds)
+    exp = pyref.bleu([by_id[i] for i in ids], [pyref.tok_13a(preds[i]) for i in ids], smooth=True)
+    assert got.bleu_score == pytest.approx(exp[0], abs=1e-12)
+    assert (got.translation_length, got.reference_length, got.pairs) == (exp[4], exp[5], 30)
