@@ -157,3 +157,9 @@ def test_hot_id_with_many_references(spark):
     exp = pyref.bleu([by_id[i] for i in ids], [pyref.tok_13a(preds[i]) for i in ids], smooth=True)
     assert got.bleu_score == pytest.approx(exp[0], abs=1e-12)
     assert (got.translation_length, got.reference_length, got.pairs) == (exp[4], exp[5], 30)
+
+
+def test_result_carries_tokenizer_signature(spark):
+    df = spark.createDataFrame([(0, "a b", "a b")], "id long, pred string, ref string")
+    assert _one(B.corpus_bleu(df)).tokenizer == "13a"
+    assert _one(B.corpus_bleu(df, tokenizer="none")).tokenizer == "none"

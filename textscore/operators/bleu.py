@@ -280,7 +280,8 @@ def corpus_bleu(
 
     Output columns: group columns, ``bleu_score``, ``precisions``,
     ``brevity_penalty``, ``length_ratio``, ``translation_length``,
-    ``reference_length``, ``pairs``.  A one-row group is sentence BLEU.
+    ``reference_length``, ``pairs``, ``tokenizer``.  A one-row group is
+    sentence BLEU.
     """
     comp = bleu_components(
         preds,
@@ -292,7 +293,9 @@ def corpus_bleu(
         tokenizer=tokenizer,
         max_order=max_order,
     )
-    return bleu_finalize(comp, group_cols, max_order=max_order, smooth=smooth, pair_weight=pair_weight, on_empty=on_empty)
+    out = bleu_finalize(comp, group_cols, max_order=max_order, smooth=smooth, pair_weight=pair_weight, on_empty=on_empty)
+    # T4: results carry the tokenizer signature they were computed with
+    return out.withColumn("tokenizer", F.lit(tokenizer if isinstance(tokenizer, str) else "custom"))
 
 
 def macro_average(scores: DataFrame, value_col: str, group_cols: Sequence[str] = (), out_col: str | None = None) -> DataFrame:

@@ -32,5 +32,9 @@ def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> Data
     the default parallelism are spread; a large input (many more splits than
     cores) is returned unchanged, so no shuffle is added at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
+        return df
+    return df.repartition(target) if splits < target else df
