@@ -144,3 +144,14 @@ def test_half_even_rounding_option(spark):
     ties = spark.createDataFrame([("r", 0, 1, Decimal("0.000025"))], "run string, epoch int, step long, loss decimal(12,6)")
     assert float(R.running_loss(ties).first().avg_loss) == 0.00003
     assert float(R.running_loss(ties, half_even=True).first().avg_loss) == 0.00002
+
+
+def test_md5_buckets_any_width_give_global_order(spark):
+    import hashlib
+
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    x = df.withColumn("o", F.md5(F.concat(F.lit("42:"), F.col("k").cast("string"))))
+    expect = {k: i + 1 for i, k in enumerate(sorted(range(3000), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest()))}
+    for digits in (1, 3, 5):
+        got = {r.k: r.rn for r in O.row_number_by(x, ["o"], bucket=O.md5_bucket(F.col("o"), digits)).collect()}
+        assert got == expect

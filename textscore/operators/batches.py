@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textscore.operators.ordering import md5_bucket, row_number_by
+from textscore.operators.ordering import md5_bucket, md5_digits_for, row_number_by
 
 
 def shuffle_key(id_col: str, seed: int):
@@ -31,7 +31,8 @@ def assign_batches(
     """
     if shuffle:
         x = df.withColumn("_order", shuffle_key(id_col, seed))
-        numbered = row_number_by(x, ["_order"], partition_cols, bucket=md5_bucket(F.col("_order")), out_col="position")
+        bucket = md5_bucket(F.col("_order"), md5_digits_for(df))
+        numbered = row_number_by(x, ["_order"], partition_cols, bucket=bucket, out_col="position")
         numbered = numbered.drop("_order")
     else:
         numbered = row_number_by(df, [id_col], partition_cols, out_col="position")

@@ -83,6 +83,12 @@ def md5_bucket(key: Column, hex_digits: int = 3) -> Column:
     return F.conv(F.substring(key, 1, hex_digits), 16, 10).cast("long")
 
 
+def md5_digits_for(df: DataFrame, min_digits: int = 3) -> int:
+    """Hex digits so that md5-prefix buckets number at least four per shuffle
+    partition (3 digits = 4,096 buckets locally, 5 = ~1M on a large cluster)."""
+    return max(min_digits, math.ceil(math.log(max(2, _default_buckets(df)), 16)))
+
+
 def row_number_by(
     df: DataFrame,
     order_cols: Sequence[str],
