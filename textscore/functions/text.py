@@ -60,7 +60,7 @@ def _col(c: ColumnOrName) -> Column:
 def whitespace_split(c: ColumnOrName) -> Column:
     """Split on runs of Unicode whitespace, dropping empty pieces (str.split())."""
     parts = F.split(_col(c), WHITESPACE_CLASS + "+")
-    return F.filter(parts, lambda x: x != F.lit(""))
+    return F.array_remove(parts, "")
 
 
 def words_and_symbols(c: ColumnOrName) -> Column:
