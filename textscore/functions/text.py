@@ -190,5 +190,5 @@ def join_tokens(c: ColumnOrName, sep: str = " ", on_null: str = "raise") -> Colu
     joined = F.array_join(col, sep)
     if on_null == "skip":
         return joined
-    has_null = F.exists(col, lambda x: x.isNull())
+    has_null = F.size(col) != F.size(F.array_compact(col))
     return F.when(has_null, F.raise_error(F.lit("null token in array"))).otherwise(joined)

@@ -100,7 +100,7 @@ def encode(
     looked = toks.join(_vocab_lookup(vocab), "token", "left")
     ids = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_tid", F.lit(unk_id)).alias("_id")))
     return looked.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(ids)), lambda s: s["_id"]).cast("array<int>").alias(out_col)
+        F.sort_array(F.collect_list(ids))["_id"].cast("array<int>").alias(out_col)
     )
 
 
@@ -126,7 +126,7 @@ def decode(
         keep = keep & ~F.coalesce(F.col("special"), F.lit(False))
     piece = F.when(keep, F.struct("_pos", "token"))
     return looked.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["token"]), sep).alias(out_col)
+        F.array_join(F.sort_array(F.collect_list(piece))["token"], sep).alias(out_col)
     )
 
 
@@ -165,7 +165,7 @@ def encode_pairs(
     looked = toks.join(_vocab_lookup(vocab), "token", "left")
     ids = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_tid", F.lit(unk_id)).alias("_id")))
     seqs = looked.groupBy(id_col, *keep_cols, "_side").agg(
-        F.transform(F.array_sort(F.collect_list(ids)), lambda s: s["_id"]).cast("array<int>").alias("_ids")
+        F.sort_array(F.collect_list(ids))["_id"].cast("array<int>").alias("_ids")
     )
     both = seqs.groupBy(id_col, *keep_cols).agg(
         F.max(F.when(F.col("_side") == 0, F.col("_ids"))).alias("code_ids"),

@@ -27,7 +27,7 @@ def decode_positions(rows: DataFrame, seq_col: str, pos_col: str, id_col: str, v
     keep = F.col("token").isNotNull() & ~F.coalesce(F.col("special"), F.lit(False))
     piece = F.when(keep, F.struct(F.col(pos_col).alias("_p"), F.col("token").alias("_t")))
     return looked.groupBy(seq_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["_t"]), " ").alias(out_col)
+        F.array_join(F.sort_array(F.collect_list(piece))["_t"], " ").alias(out_col)
     )
 
 
