@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textscore.llm import langid, simhash
+from textscore.llm import ann, langid, simhash, token_counts, toxicity
 from textscore.session import table_path
 
 QUERIES = {}
@@ -18,6 +18,17 @@ def read(spark, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op3_token_counts(spark, sf_dir):
+    return token_counts.count_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
+
+
 @query
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
@@ -26,3 +37,13 @@ def op5_simhash_near_dedup(spark, sf_dir):
 @query
 def op7_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"), folds=4, held_out_fold=2)
+
+
+@query
+def op9_nearest_neighbours(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), folds=5, held_out_fold=0)
