@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textscore.llm import ann, langid, simhash, token_counts, toxicity
+from textscore.llm import ann, decontamination, langid, packing, simhash, token_counts, toxicity, url_filter
 from textscore.session import table_path
 
 QUERIES = {}
@@ -29,16 +29,41 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.count_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    counted = token_counts.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), budget=max(packing.LENGTHS), fit_col=None)
+    return packing.pack_documents(counted)
+
+
 @query
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op7_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"), folds=4, held_out_fold=2)
 
 
+@query
+def op8_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_nearest_neighbours(spark, sf_dir):
     return ann.search(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)

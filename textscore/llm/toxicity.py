@@ -109,7 +109,7 @@ def train(
         return pd.DataFrame({"bucket": np.append(kept, [-1, -2]), "w": np.append(w[kept], [len(pdf), pdf["y"].sum()])})
 
     # the one group holds max_train_docs rows at most; one row for each bucket comes back
-    fitted = rows.groupBy(F.lit(0)).applyInPandas(fit, "bucket bigint, w double").toPandas()
+    fitted = rows.withColumn("sample", F.lit("all")).groupBy("sample").applyInPandas(fit, "bucket bigint, w double").toPandas()
     w = dict(zip(fitted.bucket, fitted.w, strict=True))
     seen, toxic, bias = w.pop(-1, 0.0), w.pop(-2, 0.0), w.pop(1 << BITS, 0.0)
     share = toxic / seen if seen else 0.0
