@@ -102,8 +102,8 @@ def score_text(text: str | None, model: dict) -> tuple[str, float]:
     return model["languages"][best], float(min(1.0, p[best] / p.sum()))
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``; the matrix (languages x buckets) is broadcast."""
+def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``docs`` plus the language and its score; the matrix (languages x buckets) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -115,7 +115,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
         return step
 
-    return with_batch_columns(docs, [text_col], make, {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64())})
+    return with_batch_columns(docs, [text_col], make, {lang_out: ("string", pa.string()), score_out: ("double", pa.float64())})
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out_fold: int = 2, max_train_docs: int = 50_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textscore.llm import ann, decontamination, langid, packing, simhash, token_counts, toxicity, url_filter
+from textscore.llm import ann, decontamination, langid, packing, pii, quality, simhash, token_counts, toxicity, url_filter
 from textscore.session import table_path
 
 QUERIES = {}
@@ -24,6 +24,20 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Stands in for the secret a deployment would pass.
+PII_KEY = "registered-query-key"
+
+
+@query
+def op1_pii_surrogates(spark, sf_dir):
+    return pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+@query
+def op2_quality_co_training(spark, sf_dir):
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op3_token_counts(spark, sf_dir):
     return token_counts.count_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
