@@ -47,7 +47,7 @@ PREFIXES = "AKIA|ghp_|gho_|ghu_|ghs_|ghr_|sk-"
 _GIVEN = "|".join(n for names in GIVEN_NAMES.values() for n in names.split())
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
-    "secret": r"(?<=(?:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,256}(?=[\"'])"
+    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,256}(?=[\"'])"
     r"|(?<![\p{L}\p{N}_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128})(?![\p{L}\p{N}_])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)"
@@ -60,7 +60,8 @@ PATTERNS = {
     rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{L}}{{1,20}} )\p{{Lu}}\p{{Ll}}+"
     rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_GIVEN}) )\p{{Lu}}\p{{Ll}}+",
 }
-ENTITY = "|".join(PATTERNS.values())
+# no entity starts inside a word, which spares most places all further tries
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
 
 
 # ------------------------------------------------------------ kinds and forms
