@@ -1,0 +1,438 @@
+"""Every operator against a brute-force version, and its edge rows."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from textscore.llm import ann, decontamination, langid, packing, pii, quality, simhash, token_counts, toxicity, url_filter
+from textscore.llm.queries import URL_RULES, read, tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, extra=False):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    # columns whose names the operators use themselves
+    return df.withColumns({c: F.lit(7) for c in ("fp", "key", "score", "_k", "size", "matches", "held_out")}) if extra else df
+
+
+EDGES = [None, "", "  \n ", "one", "x " * 50_000, "plain words in a row that repeat", "plain words in a row that repeat", "½ é日本 🙂"]
+
+
+# ------------------------------------------------------------------ simhash
+def fingerprint_by_hand(text):
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def components_by_hand(ids, fps, bits=2):
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    distinct = sorted(set(fps))
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if (a ^ b).bit_count() <= bits:
+                parent[root(a)] = root(b)
+    least = {}
+    for i, f in zip(ids, fps):
+        least[root(f)] = min(least.get(root(f), i), i)
+    return [least[root(f)] for f in fps]
+
+
+def test_simhash_equals_brute_force(spark):
+    rows = {r.doc_id: r for r in simhash.near_duplicates(read(spark, SF, "documents")).collect()}
+    texts = {r.doc_id: r.text for r in read(spark, SF, "documents").collect()}
+    ids = sorted(texts)
+    fps = [fingerprint_by_hand(texts[i]) for i in ids]
+    assert [rows[i].fingerprint for i in ids] == [f"{f:016x}" for f in fps]
+    assert [rows[i].component_id for i in ids] == components_by_hand(ids, fps)
+
+
+def test_near_links_find_every_pair_of_two_bits(spark):
+    rng = random.Random(1)
+    bases = [rng.getrandbits(64) for _ in range(20)]
+    fps = set(bases)
+    for b in bases:  # chains of one, two and three bits
+        fps |= {b ^ (1 << rng.randrange(64)) for _ in range(8)}
+        fps |= {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(8)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
+    got = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert got == want and want
+
+
+def test_components_follow_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 102), (101, 102)], "a long, b long")
+    got = {r.node: r.root for r in simhash.connected_components(edges).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100} or all(got.get(i, 1) == 1 for i in range(2, 41))
+
+
+def test_simhash_edges(spark):
+    df = docs_of(spark, EDGES, extra=True)
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert len(got) == len(EDGES)
+    assert {got[i].component_id for i in (0, 1, 2)} == {0} and got[0].fingerprint == "0" * 16
+    assert got[6].component_id == 5
+    kept = simhash.keep_one_per_component(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 7]
+    assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_simhash_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "quite other words stand here"), (None, "third text of no id"), (None, "third text of no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one_per_component(df).collect()
+    assert sorted(r.text for r in kept) == ["a b c d", "quite other words stand here", "third text of no id"]
+
+
+# -------------------------------------------------------------- language ID
+def test_language_id_held_out(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in truth)
+    held = [i for i in truth if got[i].held_out]
+    assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_id_edges(spark):
+    df = docs_of(spark, [*EDGES, "123 !!"], extra=True)
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert {got[i].lang_pred for i in (0, 1, 2, 8)} == {"und"} and got[3].lang_pred == "en"
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
+    assert langid.identify(df.limit(0)).collect() == []
+
+
+def test_gram_counts_do_not_depend_on_blocks(monkeypatch):
+    text = "some words, mehr Wörter, más palabras " * 20
+    whole = langid.gram_counts(text)
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    assert (langid.gram_counts(text) == whole).all()
+
+
+# ------------------------------------------------------------- token counts
+@pytest.fixture(scope="module")
+def counter():
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return token_counts.PrefixCounter(f.read())
+
+
+PREFIX_TEXTS = [
+    "The quick brown foxes jumped over unbelievably lazy dogs.",
+    "don't we're they've ''s 'r 're I'LL x'",
+    "a<|endoftext|>b!!<|endoftext|><|startoftext|> <|endof",
+    "été été İstanbul ΑΣ ΟΔΟΣ ß ẞ",
+    "日本語テキスト" * 4,
+    "हिन्दी क़ ज़",
+    "x y z\x1cq\x85w",
+    "한한국 🙂👍🏽 ½²٣Ⅷ",
+    "a</w>b </w> <w",
+    "a" * 120,
+    "!!!!....---===####",
+    "",
+    "   ",
+]
+
+
+@pytest.mark.parametrize("text", PREFIX_TEXTS)
+def test_prefix_counts_equal_the_library(counter, text):
+    library = [len(counter.tokenizer.encode(text[:k], add_special_tokens=False)) for k in range(len(text) + 1)]
+    assert counter.prefix_counts(text).tolist() == library
+
+
+def test_token_counts_and_fitting_prefix(spark, counter):
+    texts = [*EDGES, *PREFIX_TEXTS, *[r.text for r in read(spark, SF, "documents").limit(60).collect()]]
+    df = docs_of(spark, texts, extra=True)
+    got = {r.doc_id: r for r in token_counts.count_documents(df, tokenizer_path("word_bpe_49k.json"), 40).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        n = len(counter.tokenizer.encode(t, add_special_tokens=False))
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len(t.encode()), n, n > 40)
+        assert len(counter.tokenizer.encode(t[: got[i].fit_chars], add_special_tokens=False)) <= 40
+
+
+def test_stored_prefixes_answer_without_encoding(spark):
+    df = docs_of(spark, ["alpha beta gamma unbelievable", None])
+    stored = token_counts.with_prefix_counts(df, tokenizer_path("word_bpe_49k.json"))
+    c = "prefix_counts"
+    r = stored.select(F.col(c), token_counts.tokens_in_prefix(c, 10).alias("n"), token_counts.longest_fitting(c, 2).alias("p")).collect()
+    assert r[0].n == r[0].prefix_counts[10] and r[0].prefix_counts[r[0].p] <= 2
+    assert all(x > 2 for x in r[0].prefix_counts[r[0].p + 1 :])
+    assert r[1].prefix_counts == [0]
+
+
+# ------------------------------------------------------------------ packing
+def test_pack_places_all_and_shrinks():
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 64) for _ in range(3000)]
+    bins, offsets, final = packing.pack(sizes, (16, 32, 64), packing.sequence_cost)
+    used = [0] * len(final)
+    spans = sorted((b, o, s) for b, o, s in zip(bins, offsets, sizes))
+    for b, o, s in spans:
+        assert o == used[b]
+        used[b] += s
+    assert all(n == min(c for c in (16, 32, 64) if c >= u) for n, u in zip(final, used))
+    assert sum(final) <= 1.02 * sum(sizes)
+
+
+def test_pack_is_best_fit_decreasing():
+    def slow(sizes, lengths):
+        left, room, placed, costs = sum(sizes), [], {}, packing.sequence_cost
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fits = [r for r in room if r >= sizes[i]]
+            if fits:
+                room[room.index(min(fits))] -= sizes[i]
+            else:
+                c = min((c for c in lengths if c >= sizes[i]), key=lambda c: (costs(c) / min(c, left), -c))
+                room.append(c - sizes[i])
+            left -= sizes[i]
+            placed[i] = True
+        return len(room)
+
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes = [rng.randint(1, 50) for _ in range(rng.randint(1, 60))]
+        assert len(packing.pack(sizes, (16, 32, 64), packing.sequence_cost)[2]) == slow(sizes, (16, 32, 64))
+
+
+def test_packing_edges(spark):
+    rows = [(1, 0), (2, None), (3, 20_000), (3, 20_000), (4, 8192), (None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    got = packing.pack_documents(df).collect()
+    assert sum(r.n_tokens for r in got) == 20_000 * 2 + 8192 + 5
+    assert sum(r.bin_id is None for r in got) == 2
+    assert all(r.bin_offset + r.n_tokens <= r.bin_length for r in got if r.bin_id is not None)
+    assert packing.pack_documents(df.limit(0)).collect() == []
+
+
+# --------------------------------------------------------------- URL filter
+def test_url_rules_and_verdicts(spark):
+    urls = [None, "", "no scheme", "http://a.com", "https://X.Example.com/en/1?q", "http://www.example.com/en/2", "http://n.net/es/", "http://com/x", "http://xcom/x"]
+    pages = [(i, u, "") for i, u in enumerate(urls)]
+    pages += [(100 + i, f"http://good{i % 7}.com/news/{i}", "") for i in range(60)]
+    pages += [(200 + i, f"http://bad{i % 7}.net/fr/{i}", "") for i in range(60)]
+    pages += [(300, "http://good3.org/news/5", ""), (301, "http://bad3.org/fr/5", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, score string")
+    got = {r.page_id: r for r in url_filter.judge(df, URL_RULES).collect()}
+    assert len(got) == len(pages)
+    assert [(got[i].host, got[i].path) for i in (0, 1, 2)] == [("", "")] * 3
+    assert (got[3].rule, got[3].host, got[3].path) == (None, "a.com", "")
+    assert (got[4].rule, got[4].verdict, got[4].host) == ("example.com/en/", "block", "x.example.com")
+    assert (got[5].rule, got[5].verdict) == ("www.example.com/en/", "allow")
+    assert got[6].rule == "net/es/" and got[7].rule == "com/" and got[8].rule is None
+    assert (got[300].verdict, got[301].verdict) == ("allow", "block")
+    assert url_filter.judge(df.limit(0), URL_RULES).collect() == []
+
+
+def test_url_scores_equal_a_slow_model(spark):
+    train = [(0, "http://aa.com/x"), (0, "http://ab.com/y"), (1, "http://zz.net/q"), (0, "http://aa.com/x")]
+    counts = url_filter.count_grams(spark.createDataFrame(train, "side int, url string"))
+    k = url_filter.ORDER
+    seen = [{}, {}]
+    for side, url in train:
+        s = "\x02" * (k + 1) + url + "\x03"
+        for i in range(k, len(s)):
+            for n in range(k + 1):
+                g = s[i - n : i + 1]
+                seen[side][g] = seen[side].get(g, 0) + 1
+
+    def log_p(c, url):
+        s, total = "\x02" * (k + 1) + url + "\x03", 0.0
+        size = sum(v for g, v in c.items() if len(g) == 1)
+        for i in range(k + 1, len(s)):
+            p = (c.get(s[i], 0) + 1) / (size + 257)
+            for n in range(1, k + 1):
+                p = (c.get(s[i - n : i + 1], 0) + url_filter.SMOOTHING * p) / (c.get(s[i - n : i], 0) + url_filter.SMOOTHING)
+            total += np.log(p)
+        return total / (len(url) + 1)
+
+    urls = ["http://aa.com/z", "http://zz.net/x", ""]
+    want = [log_p(seen[0], u) - log_p(seen[1], u) for u in urls]
+    assert np.allclose(url_filter.score_urls(urls, counts), want, atol=1e-9)
+
+
+# ---------------------------------------------------------- decontamination
+def test_decontamination_finds_planted_items(spark):
+    docs, bench = read(spark, SF, "documents"), read(spark, SF, "benchmark")
+    items = {r.item_id: r.text for r in bench.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {(d, i) for d, t in texts.items() for i, b in items.items() if b in t}
+    rows = decontamination.contaminated(docs, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert want and want <= got
+    words = lambda t: decontamination.Words().of(t).tolist()
+    for d, i in got - want:
+        assert decontamination.common_subsequence(words(items[i]), words(texts[d])) >= 0.7 * len(words(items[i]))
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(texts) - {d for d, _ in got}
+
+
+def test_decontamination_paraphrase_and_edges(spark):
+    item = "which of the seven northern rivers carries most water towards the frozen sea in early summer answer the long lena river"
+    changed = item.replace("northern ", "").replace("most", "the most").replace("early", "late")
+    filler = [f"unrelated sentence number {i} about gardens kettles and bicycles" for i in range(30)]
+    df = docs_of(spark, [*EDGES, "intro words here " + changed + " closing words", *filler], extra=True)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short item")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()]
+    assert got == [(len(EDGES), 1)]
+    assert decontamination.contaminated(df, bench.limit(0)).collect() == []
+    assert decontamination.contaminated(df.limit(0), bench).collect() == []
+
+
+def test_common_subsequence_equals_table():
+    rng = random.Random(4)
+    for _ in range(100):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 15))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert decontamination.common_subsequence(a, b) == t[-1][-1]
+
+
+# ---------------------------------------------------------------------- PII
+KEY = "test key"
+
+
+def test_pii_coreference_distinctness_and_format(spark):
+    texts = [
+        "Mr. John Smith, john.smith@Mail.example.com, +1 (487) 555-7209 and +1 487-555-7209, card 4111 1111 1111 1111",
+        "Mr. Smith, JOHN.SMITH@MAIL.EXAMPLE.COM, card 4111111111111111 or 4736962573099581, ip 10.20.30.40",
+        'Госпожа Мария Иванова; token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"',
+        None,
+        "",
+        "Nothing here 12345 1.2.3.4.5 An Le Las.",
+    ]
+    got = [r.text for r in pii.replace_entities(docs_of(spark, texts, extra=True), KEY).orderBy("doc_id").collect()]
+    assert got[3:] == texts[3:]
+    words = got[0].replace(",", "").split()
+    name = words[2]
+    assert name != "Smith" and f"Mr. {name}," in got[1] and words[1] in pii.GIVEN_NAMES["latin male"].split()
+    assert words[3].upper() in got[1] and words[3].endswith(".com")
+    digits = "".join(c for c in got[0] if c.isdigit())
+    assert digits[:11] == digits[11:22] and digits[0] == "1"
+    card = digits[22:]
+    assert card in got[1] and sum(int(c) if i % 2 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(card)) % 10 == 0
+    assert "Мария" not in got[2] and "Иванова" not in got[2] and got[2].split(";")[0].endswith("ова")
+    for old in ("Smith", "smith@", "7209", "1111", "10.20.30.40", "0b96a8"):
+        assert not any(old in (t or "") for t in got)
+
+
+def test_pii_collisions_are_drawn_again(spark, monkeypatch):
+    # one digit of freedom: ten entities fill the whole range that is not an entity
+    forms = [f"{i}" for i in range(0, 5)]
+    entities = spark.createDataFrame([("ssn", f) for f in forms], "kind string, form string")
+    got = pii.assign_surrogates(entities, KEY).collect()
+    assert {r.form for r in got} == set(forms)
+    assert len({r.surrogate for r in got}) == 5 and not {r.surrogate for r in got} & set(forms)
+
+
+def test_pii_plan_has_no_python(spark):
+    plan = pii.replace_entities(docs_of(spark, ["a@b.com"]), KEY)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
+
+
+# ------------------------------------------------------------- neighbours
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((400, 16)).astype(np.float32)
+    vectors[7] = vectors[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [1.0] * 15 + [None]), (903, [float("nan")] * 16), (904, [1.0] * 3), (905, [float("inf")] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("code", F.lit(1))
+    got = {}
+    for r in ann.search(df, "vec_id % 50 = 0", k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    x = vectors.astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 400, 50):
+        s = u @ u[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(400), -np.round(s, 12)))[:5].tolist()
+        found = [v for _, v, _ in sorted(got[q])]
+        hits += len(set(best) & set(found))
+        assert all(abs(sc - s[v]) < 1e-12 for _, v, sc in got[q])
+    assert hits >= 0.97 * 40 and set(got) == set(range(0, 400, 50))
+
+
+def test_neighbours_few_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, "vec_id = 0", k=5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 2)]
+    assert ann.search(df.limit(0), "vec_id = 0").collect() == []
+    assert ann.search(df, "vec_id = 77").collect() == []
+
+
+# ----------------------------------------------------------------- toxicity
+def test_ftrl_equals_the_plain_update():
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(rng.integers(0, 30, 6)), int(rng.integers(0, 2))) for _ in range(80)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def w(i):
+        zi, p = z.get(i, 0.0), 0.0 if i == bias else l1
+        return 0.0 if abs(zi) <= p else -(zi - np.sign(zi) * p) / ((beta + np.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for at, y in rows:
+        at = [*at.tolist(), bias]
+        ws = [w(i) for i in at]
+        g = 1 / (1 + np.exp(-sum(ws))) - y
+        for i, wi in zip(at, ws):
+            grown = n.get(i, 0.0) + g * g
+            z[i] = z.get(i, 0.0) + g - (np.sqrt(grown) - np.sqrt(n.get(i, 0.0))) / alpha * wi
+            n[i] = grown
+    got = toxicity.ftrl(rows, 1, alpha, beta, l1, l2)
+    assert np.allclose([got[i] for i in [*range(30), bias]], [w(i) for i in [*range(30), bias]])
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = read(spark, d, "documents").repartition(8), read(spark, d, "labels")
+    got = {r.doc_id: r for r in toxicity.detect(docs, labels).collect()}
+    held = [(r.doc_id, r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    right = [got[i].predicted == t for i, t in held]
+    assert all(got[i].held_out for i, _ in held) and sum(right) >= 0.95 * len(right)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_toxicity_edges(spark):
+    df = docs_of(spark, EDGES, extra=True)
+    labels = spark.createDataFrame([(0, None), (5, 0), (6, 1), (6, 0), (99, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.detect(df, labels, folds=1000, held_out_fold=999).collect()
+    assert len(got) == len(EDGES)
+    none = {r.score for r in toxicity.detect(df, labels.limit(0)).collect()}
+    assert none == {0.0} and toxicity.detect(df.limit(0), labels).collect() == []
+
+
+# ------------------------------------------------------------------ quality
+def test_quality_by_co_training(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in quality.score(read(spark, d, "documents"), read(spark, d, "labels")).collect()}
+    known = read(spark, d, "labels").collect()
+    assert sum(got[r.doc_id].keep == (r.quality == 1) for r in known) >= 0.95 * len(known)
+    assert len(got) == read(spark, d, "documents").count() and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_quality_edges(spark):
+    df = docs_of(spark, EDGES, extra=True).withColumn("lang", F.lit(None).cast("string"))
+    one_kind = spark.createDataFrame([(3, 1), (5, 1), (None, 0), (77, 0)], "doc_id long, quality int")
+    assert {r.score for r in quality.score(df, one_kind).collect()} == {1.0}
+    assert {r.score for r in quality.score(df, one_kind.limit(0)).collect()} == {0.5}
+    assert quality.score(df.limit(0), one_kind).collect() == []

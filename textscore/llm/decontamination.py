@@ -193,8 +193,8 @@ def term_weights(texts: DataFrame, items: DataFrame, features: np.ndarray) -> np
 
 
 def latent_basis(texts: DataFrame, features: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 3) -> np.ndarray:
-    """Right singular vectors of the passages' TF-IDF matrix over their singular
-    values (the leading ones), from one pass over all passages."""
+    """Right singular vectors of the passages' TF-IDF matrix over the roots of
+    their singular values (the leading ones), from one pass over all passages."""
     size = len(features)
     width = min(size, rank + OVERSAMPLE)
     probe = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
@@ -235,9 +235,10 @@ def latent_basis(texts: DataFrame, features: np.ndarray, idf: np.ndarray, rank:
     values, vectors = np.linalg.eigh(core + shift * np.eye(width))
     root = (z + shift * probe) @ (vectors / np.sqrt(np.maximum(values, shift)))
     left, strength, _ = np.linalg.svd(root, full_matrices=False)
-    used = min(rank, int(np.count_nonzero(strength > 1e-6 * max(strength.max(), 1e-12))) or 1)
-    # folded in by the inverse singular values, so that directions that most passages share don't rule
-    return left[:, :used] * (strength[0] or 1.0) / np.maximum(strength[:used], 1e-12)
+    used = min(rank, int(np.count_nonzero(strength > 1e-2 * max(strength.max(), 1e-12))) or 1)
+    # scaled down by the root of the singular values, so that directions that most
+    # passages share don't rule; in full, small differences of alike passages would
+    return left[:, :used] * np.sqrt((strength[0] or 1.0) / np.maximum(strength[:used], 1e-12))
 
 
 def fit(docs: DataFrame, benchmark: DataFrame) -> dict | None:

@@ -131,12 +131,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def fingerprint_components(rows: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``(fp, component_id)`` for the distinct fingerprints of ``rows(doc_id, fp)``."""
+    """``(fp, root, component_id)`` for the distinct fingerprints of ``rows(doc_id, fp)``."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(near_links(nodes, max_bits))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "root").select("fp", "component_id")
+    return placed.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(
@@ -157,11 +157,9 @@ def keep_one_per_component(docs: DataFrame, shingle_words: int = 3, max_bits: in
     """
     marked = written(with_fingerprints(docs, "text", shingle_words, "_fp"), "marked")
     rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
-    comps = fingerprint_components(rows, max_bits).withColumnRenamed("fp", "_fp")
-    named = rows.groupBy("fp").agg(F.min("doc_id").alias("_id")).withColumnRenamed("fp", "_fp").join(comps, "_fp")
-    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("_fp")))
-    # a component without any doc_id has the null component_id; its rows are told apart by fingerprint
-    keep = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp"))).agg(first.alias("k"))
+    named = rows.groupBy("fp").agg(F.min("doc_id").alias("_id")).join(fingerprint_components(rows, max_bits), "fp")
+    # by root: components of other texts can have the same smallest doc_id where ids repeat
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("fp").alias("_fp"))).alias("k"))
     keep = keep.select(F.col("k._id").alias("_kid"), F.col("k._fp").alias("_kfp"))
     same = marked["doc_id"].eqNullSafe(keep["_kid"]) & (marked["_fp"] == keep["_kfp"])
     return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
