@@ -40,6 +40,12 @@ HEADLINE = [
     "w3_running_loss",
     "w4_interval_perplexity",
     "w6_patience",
+    "w8_global_steps",
+    "e3_truncate_pad",
+    "e8_pad_batches",
+    "a7_evaluate_batches",
+    "a12_run_comparison",
+    "a13_merged_partials",
     "u2_batch_prediction",
 ]
 
@@ -51,7 +57,10 @@ def main() -> None:
         f"local[{cpus}]",
         app_name="textscore-bench",
         shuffle_partitions=max(8, 2 * int(cpus)),
-        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
+        extra={
+            "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+            "textscore.input.partitions": str(2 * int(cpus)),  # the tables are files of one row group
+        },
     )
     names = sys.argv[1:] or HEADLINE
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")

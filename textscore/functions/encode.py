@@ -52,8 +52,13 @@ def argmax(values: Column | str) -> Column:
 
 
 def log_softmax_at(logits: Column | str, target: Column | str) -> Column:
-    """Negative log-likelihood of ``target`` under softmax(logits), max-shifted."""
+    """Negative log-likelihood of ``target`` under softmax(logits), max-shifted.
+
+    A target outside the logits fails the job; a null one gives null.
+    """
     lg = F.transform(_col(logits), lambda x: x.cast("double"))
     m = F.array_max(lg)
     lse = m + F.ln(F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-    return lse - F.get(lg, _col(target))
+    t = _col(target)
+    outside = (t < 0) | (t >= F.size(lg))
+    return F.when(outside, F.raise_error(F.lit("target outside the logits")).cast("double")).otherwise(lse - F.get(lg, t))

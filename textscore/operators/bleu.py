@@ -150,8 +150,11 @@ def bleu_components(
 
 
 def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order, as_string) -> DataFrame:
+    # pairs that share an id are told apart by their content; copies of a pair merge,
+    # which scales each of their counts alike and so leaves the clipping right
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(pred_col), F.col(ref_col), *keys).alias("h"))
     # one exchange of raw pair rows on _id; every grouping below contains _id
-    rows = cluster_rows(pairs.select(F.col(id_col).alias("_id"), *keys, pred_col, ref_col), "_id")
+    rows = cluster_rows(pairs.select(own.alias("_id"), *keys, pred_col, ref_col), "_id")
     segs = rows.select(
         "_id",
         F.inline(
@@ -167,27 +170,30 @@ def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order,
     merged = grams.groupBy("_id", "n", "gram").agg(
         F.sum(F.when(F.col("_side") < 0, F.col("w")).otherwise(0)).alias("pc"),
         F.sum(F.when(F.col("_side") >= 0, F.col("w")).otherwise(0)).alias("rc"),
+        F.count(F.when((F.col("n") == 0) & (F.col("_side") < 0), 1)).alias("copies"),
     )
     clipped = merged.select(
         "_id",
         "n",
+        "copies",
         F.col("pc"),
         F.least("pc", "rc").alias("clip"),
         F.when(F.col("n") == 0, F.col("pc")).alias("tl"),
         F.when(F.col("n") == 0, F.col("rc")).alias("rl"),
     )
     if keys:
-        # one row per pair, then the group columns from the same clustered rows:
-        # both sides are hash-partitioned on _id by the one exchange above
+        # one row per distinct pair, then its group columns; both sides are
+        # hash-partitioned on _id, so the join adds no exchange of its own
         per_id = clipped.groupBy("_id").agg(
+            F.sum("copies").alias("copies"),
             F.max("tl").alias("tl"), F.max("rl").alias("rl"), *_order_sums("clip", max_order), *_order_sums("pc", max_order)
         )
-        clipped = per_id.join(rows.select("_id", *keys), "_id").withColumn("n", F.lit(0))
+        clipped = per_id.join(rows.select("_id", *keys).distinct(), "_id").withColumn("n", F.lit(0))
         sums = [F.sum(f"_{v}{k}").alias(f"_{v}{k}") for v in ("clip", "pc") for k in range(1, max_order + 1)]
     else:
         sums = [*_order_sums("clip", max_order), *_order_sums("pc", max_order)]
     agg = clipped.groupBy(*keys).agg(
-        F.count(F.when(F.col("n") == 0, F.lit(1))).alias("pairs"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("pairs"),
         F.coalesce(F.sum("tl"), F.lit(0)).cast("long").alias("translation_length"),
         F.coalesce(F.sum("rl"), F.lit(0)).cast("long").alias("reference_length"),
         *sums,

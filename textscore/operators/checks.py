@@ -66,10 +66,12 @@ def leak_check(
 
     One output row: ``ok``, ``reason`` (first failing check in that order:
     ``train_unsorted``, ``test_unsorted``, ``leak``; else ``ok``), the violation
-    counts and the two boundary dates.  An empty split fails the job, as the
-    reference's indexing would.
+    counts and the two boundary dates.  An empty split and a null date fail the job:
+    a check that does not know a date must not pass.
     """
     x = df.where(F.col(split_col).isin(train, test))
+    unknown = F.raise_error(F.lit("leak check: null date")).cast(df.schema[date_col].dataType)
+    x = x.withColumn(date_col, F.when(F.col(date_col).isNull(), unknown).otherwise(F.col(date_col)))
     per = sorted_by_date(x, pos_col, date_col, [split_col], pattern)
 
     def pick(col: str, split: str) -> Column:

@@ -12,7 +12,8 @@ from textscore.functions.encode import argmax, log_softmax_at
 
 
 def exact_match_flag(pred: str, ref: str, ignore_case: bool = True):
-    p, r = F.col(pred), F.col(ref)
+    # a null text counts as empty, as in the BLEU lengths
+    p, r = F.coalesce(F.col(pred), F.lit("")), F.coalesce(F.col(ref), F.lit(""))
     if ignore_case:
         p, r = F.lower(p), F.lower(r)
     return (p == r).cast("double")

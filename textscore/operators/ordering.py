@@ -32,9 +32,13 @@ def _numeric_key(df: DataFrame, order_col: str) -> Column:
         return epoch_micros(F.col(order_col), dt)
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(order_col))
-    if isinstance(dt, T.NumericType):
+    if isinstance(dt, T.IntegralType):
         return F.col(order_col).cast("long")
-    raise TypeError(f"range buckets need a numeric, date or timestamp key; got {dt} for {order_col}")
+    if isinstance(dt, T.NumericType):
+        return F.col(order_col).cast("double")
+    if isinstance(dt, T.StringType):  # the first seven bytes, which order as the strings do
+        return F.conv(F.rpad(F.substring(F.hex(F.col(order_col).cast("binary")), 1, 14), 14, "0"), 16, 10).cast("double")
+    raise TypeError(f"range buckets need a numeric, string, date or timestamp key; got {dt} for {order_col}")
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -73,6 +77,8 @@ def with_quantile_bucket(df: DataFrame, order_col: str, out_col: str = "_bkt", n
     x = df.withColumn("_qkey", _numeric_key(df, order_col).cast("double"))
     probs = [i / num_buckets for i in range(1, num_buckets)]
     qs = x.approxQuantile("_qkey", probs, 1.0 / (4 * num_buckets)) if probs else []
+    if not [q for q in qs if q is not None]:  # no rows, or one bucket
+        return x.withColumn(out_col, F.lit(0).cast("long")).drop("_qkey")
     splits = [float("-inf"), *sorted(set(q for q in qs if q is not None)), float("inf")]
     b = Bucketizer(splits=splits, inputCol="_qkey", outputCol=out_col, handleInvalid="keep")
     return b.transform(x).withColumn(out_col, F.col(out_col).cast("long")).drop("_qkey")
@@ -111,8 +117,13 @@ def row_number_by(
     counts = x.groupBy(*pcols, "_bkt").agg(F.count(F.lit(1)).alias("_nb"))
     before = Window.partitionBy(*pcols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*pcols, "_bkt", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
-    joined = numbered.join(offsets, [*pcols, "_bkt"], "inner")
-    return joined.withColumn(out_col, (F.col("_rb") + F.col("_off")).cast("long")).drop("_bkt", "_rb", "_off")
+    # null-safe: null partition values and null order keys are numbered too
+    keys = [*pcols, "_bkt"]
+    renamed = offsets.select(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)), "_off")
+    same = [numbered[c].eqNullSafe(renamed[f"_o{i}"]) for i, c in enumerate(keys)]
+    joined = numbered.join(renamed, same, "inner")
+    drop = ["_bkt", "_rb", "_off", *(f"_o{i}" for i in range(len(keys)))]
+    return joined.withColumn(out_col, (F.col("_rb") + F.col("_off")).cast("long")).drop(*drop)
 
 
 def order_violations(
@@ -146,8 +157,8 @@ def order_violations(
     edges = inner_v.withColumn("_prev_last", F.lag("_last_val").over(wb))
     edges = edges.withColumn("_edge_v", F.col("_prev_last") > F.col("_first_val"))
     return edges.groupBy(*pcols).agg(
-        F.sum("_n").cast("long").alias("rows"),
-        (F.sum("_v") + F.count(F.when(F.col("_edge_v"), 1))).cast("long").alias("violations"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows"),
+        (F.coalesce(F.sum("_v"), F.lit(0)) + F.count(F.when(F.col("_edge_v"), 1))).cast("long").alias("violations"),
         F.least(
             F.min("_first_v"), F.min(F.when(F.col("_edge_v"), F.col("_first_pos")))
         ).alias("first_violation_pos"),

@@ -22,19 +22,3 @@ def cluster_rows(df: DataFrame, *cols: str, num_partitions: int | None = None) -
     Later groupings whose keys include ``cols`` reuse this partitioning.
     """
     return df.repartition(partition_count(df, num_partitions), *cols)
-
-
-def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan over the cluster's cores when it yields fewer splits.
-
-    A file written as one row group is read by one task, which leaves every
-    other core idle during tokenization.  Only inputs with fewer splits than
-    the default parallelism are spread; a large input (many more splits than
-    cores) is returned unchanged, so no shuffle is added at scale.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(target) if splits < target else df

@@ -84,6 +84,13 @@ def q_a5_bleu_pairs(spark, d):
     return fmt_bleu(B.corpus_bleu(I.pairs(spark, d)))
 
 
+@register("a5_bleu_duplicate_ids", S.bleu_sql(f"{I.NEAR_SQL}, {NEAR_REFS}", "near", "nrefs", smooth=True))
+def q_a5_bleu_duplicate_ids(spark, d):
+    # every id stands for thousands of pairs; each pair is still clipped on its own
+    by_lang = I.near(spark, d).withColumn("id", F.col("lang"))
+    return fmt_bleu(B.corpus_bleu(by_lang, smooth=True))
+
+
 @register("a5_bleu_near_smooth_doubled", S.bleu_sql(f"{I.NEAR_SQL}, {NEAR_REFS}", "near", "nrefs", smooth=True, weight=2))
 def q_a5_bleu_near_smooth(spark, d):
     """A5 smoothed with every pair counted twice (the reference wrapper's setting)."""

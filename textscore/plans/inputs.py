@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textscore.operators.ordering import row_number_by
-from textscore.operators.partitioning import spread_small_input
 from textscore.session import table_path
 
 STEPS_PER_EPOCH = 25
@@ -30,8 +29,15 @@ NUM_RUNS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; spread over the cores when its scan has fewer splits."""
-    return spread_small_input(spark.read.parquet(table_path(sf_dir, name)))
+    """A given table.
+
+    Files of one row group are read by one task.  A caller who wants such scans
+    dealt out sets ``textscore.input.partitions``; every table is then
+    repartitioned to that many, whatever its size.  It is not set by default.
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    n = spark.conf.get("textscore.input.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 # ----------------------------------------------------------------- PAIRS

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 WORDS_AND_SYMBOLS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+# The published rules of the 13a tokenizer.
 REGEXP_STAGE = [
-    (r"([{-~\[-\x60!-&(-+:-@/])", r" \1 "),
+    (r"([{-~\[-`!-&(-+:-@/])", r" \1 "),
     (r"([^0-9])([.,])", r"\1 \2 "),
     (r"([.,])([^0-9])", r" \1 \2"),
     (r"([0-9])(-)", r"\1 \2 "),

@@ -8,6 +8,7 @@ the shared folder used to cut lineage.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,14 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     """Root of the shared folder for materialized tables and checkpoints.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  A
-    folder of our own is created only when the session has none, which is the
-    local/test case; on a cluster the setting names shared storage.
+    local session that names none gets a folder of its own; on a cluster, whose
+    executors could not read it, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="textscore-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
