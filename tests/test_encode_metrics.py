@@ -27,6 +27,17 @@ def test_vocab_encode_decode_roundtrip(spark):
     assert dec == {1: "b a b c", 2: "c c", 3: ""}
 
 
+def test_repeated_ids_stay_rows_of_their_own(spark):
+    rows = [(1, "b a"), (1, "c c"), (1, "c c"), (None, "a"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    v = E.build_vocabulary(docs, "text", top_k=3)
+    enc = E.encode(docs, "id", "text", v)
+    got = sorted(((r.id, r.text) for r in E.decode(enc, "id", "input_ids", v).collect()), key=repr)
+    assert got == sorted([(i, t or "") for i, t in rows], key=repr)
+    pairs = E.encode_pairs(docs.withColumn("doc", F.col("text")), "id", "text", "doc", v, 2)
+    assert pairs.count() == len(rows) and pairs.where("size(input_ids) <> 2").count() == 0
+
+
 def test_pad_fallback(spark):
     v = spark.createDataFrame([("</s>", 1), ("<unk>", 2), ("x", 3)], "token string, id int")
     r = E.resolve_pad(v).first()

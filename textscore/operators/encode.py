@@ -3,9 +3,11 @@
 The vocabulary is the top-k tokens plus a few special tokens, so its size is
 bounded by ``k`` and it is safe to broadcast.  Encoding and decoding explode a
 row's tokens, look them up with a broadcast join, and re-assemble them in
-position order.  Rows are hash-partitioned on their id *before* the explode
-(one shuffle of raw text), so the re-assembly ``groupBy(id)`` needs no second
-exchange and only ever collects one row's own tokens.
+position order.  Rows are hash-partitioned on their id and content *before* the
+explode (one shuffle of raw text), so the re-assembly needs no second exchange
+and only ever collects one row's own tokens.  An id may repeat: rows are told
+apart by their content, and equal rows are encoded once and given back as often
+as they came.
 """
 
 from __future__ import annotations
@@ -76,6 +78,22 @@ def _vocab_lookup(vocab: DataFrame) -> DataFrame:
     return F.broadcast(vocab.select("token", F.col("id").alias("_tid")))
 
 
+def _distinct_rows(df: DataFrame, keys: Sequence[str], content: Sequence[str], cluster: bool) -> tuple[DataFrame, list[str]]:
+    """The distinct rows of ``df`` with the columns that name one (ids and hashes of
+    the content) and ``_copies``, how often it came."""
+    rows = df.select(*keys, *content, F.xxhash64(*content).alias("_h1"), F.hash(*content).alias("_h2"))
+    names = [*keys, "_h1", "_h2"]
+    if cluster:
+        rows = cluster_rows(rows, *names)
+    once = rows.groupBy(*names).agg(*(F.first(c).alias(c) for c in content), F.count(F.lit(1)).cast("int").alias("_copies"))
+    return once, [*names, "_copies"]
+
+
+def _all_copies(df: DataFrame) -> DataFrame:
+    """``df`` with each row as often as ``_copies`` says; drops the helper columns."""
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copy", "_copies", "_h1", "_h2")
+
+
 def encode(
     df: DataFrame,
     id_col: str,
@@ -89,19 +107,17 @@ def encode(
 ) -> DataFrame:
     """Text -> ``array<int>`` of vocabulary ids (unknown -> ``unk_id``).
 
-    Output: ``id_col`` and ``out_col``; empty or null text gives an empty array.
+    Output: ``id_col`` and ``out_col``, one row per row of ``df``; empty or null text
+    gives an empty array.
     """
     tok = get_tokenizer(tokenizer)
     c = F.col(text_col)
-    rows = df.select(id_col, text_col)
-    if repartition:
-        rows = cluster_rows(rows, id_col)
-    toks = rows.select(id_col, F.posexplode_outer(tok(F.lower(c) if lower else c)).alias("_pos", "token"))
+    rows, names = _distinct_rows(df, [id_col], [text_col], repartition)
+    toks = rows.select(*names, F.posexplode_outer(tok(F.lower(c) if lower else c)).alias("_pos", "token"))
     looked = toks.join(_vocab_lookup(vocab), "token", "left")
     ids = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_tid", F.lit(unk_id)).alias("_id")))
-    return looked.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(ids))["_id"].cast("array<int>").alias(out_col)
-    )
+    seqs = looked.groupBy(*names).agg(F.sort_array(F.collect_list(ids))["_id"].cast("array<int>").alias(out_col))
+    return _all_copies(seqs)
 
 
 def decode(
@@ -114,20 +130,18 @@ def decode(
     sep: str = " ",
     repartition: bool = True,
 ) -> DataFrame:
-    """Ids -> text, dropping special ids; rows of only specials give ''."""
-    rows = df.select(id_col, ids_col)
-    if repartition:
-        rows = cluster_rows(rows, id_col)
-    ex = rows.select(id_col, F.posexplode_outer(ids_col).alias("_pos", "_tid"))
+    """Ids -> text, dropping special ids; rows of only specials give ''.  One
+    row per row of ``df``."""
+    rows, names = _distinct_rows(df, [id_col], [ids_col], repartition)
+    ex = rows.select(*names, F.posexplode_outer(ids_col).alias("_pos", "_tid"))
     v = vocab.select(F.col("id").alias("_tid"), "token", "special")
     looked = ex.join(F.broadcast(v), "_tid", "left")
     keep = F.col("token").isNotNull()
     if skip_special:
         keep = keep & ~F.coalesce(F.col("special"), F.lit(False))
     piece = F.when(keep, F.struct("_pos", "token"))
-    return looked.groupBy(id_col).agg(
-        F.array_join(F.sort_array(F.collect_list(piece))["token"], sep).alias(out_col)
-    )
+    texts = looked.groupBy(*names).agg(F.array_join(F.sort_array(F.collect_list(piece))["token"], sep).alias(out_col))
+    return _all_copies(texts)
 
 
 def encode_pairs(
@@ -148,28 +162,30 @@ def encode_pairs(
     ``keep_cols`` pass through.
 
     Both texts are encoded in one pass: they are stacked as two segments per
-    row, exploded, looked up once and re-assembled per ``(id, side)``.
+    row, cut to ``block_size`` tokens, exploded, looked up once and re-assembled
+    per row and side.  One row per row of ``df``.
     """
     tok = get_tokenizer(tokenizer)
 
     def t(c):
-        return tok(F.lower(F.col(c)) if lower else F.col(c))
+        return F.slice(tok(F.lower(F.col(c)) if lower else F.col(c)), 1, block_size)
 
-    rows = cluster_rows(df.select(id_col, *keep_cols, code_col, doc_col), id_col)
+    rows, names = _distinct_rows(df, [id_col, *keep_cols], [code_col, doc_col], True)
     segs = rows.select(
-        id_col,
-        *keep_cols,
+        *names,
         F.inline(F.array(F.struct(F.lit(0).alias("_side"), t(code_col).alias("_t")), F.struct(F.lit(1).alias("_side"), t(doc_col).alias("_t")))),
     )
-    toks = segs.select(id_col, *keep_cols, "_side", F.posexplode_outer("_t").alias("_pos", "token"))
+    toks = segs.select(*names, "_side", F.posexplode_outer("_t").alias("_pos", "token"))
     looked = toks.join(_vocab_lookup(vocab), "token", "left")
     ids = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_tid", F.lit(unk_id)).alias("_id")))
-    seqs = looked.groupBy(id_col, *keep_cols, "_side").agg(
+    seqs = looked.groupBy(*names, "_side").agg(
         F.sort_array(F.collect_list(ids))["_id"].cast("array<int>").alias("_ids")
     )
-    both = seqs.groupBy(id_col, *keep_cols).agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_ids"))).alias("code_ids"),
-        F.max(F.when(F.col("_side") == 1, F.col("_ids"))).alias("docs_ids"),
+    both = _all_copies(
+        seqs.groupBy(*names).agg(
+            F.max(F.when(F.col("_side") == 0, F.col("_ids"))).alias("code_ids"),
+            F.max(F.when(F.col("_side") == 1, F.col("_ids"))).alias("docs_ids"),
+        )
     )
     padded = both.select(
         id_col,

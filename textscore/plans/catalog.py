@@ -199,15 +199,20 @@ def q_a10(spark, d):
 
 @register(
     "a11_eval_report",
-    f"""WITH {I.NEAR_SQL}, {I.LOGITS_SQL}, {_LOSS_SQL}
-SELECT 'eval_EM_score' AS metric, round(avg(CASE WHEN lower(pred) = lower(ref) THEN 1.0 ELSE 0.0 END), 4) AS value FROM near
+    f"""WITH bl AS ({S.bleu_sql(f"{I.NEAR_SQL}, {NEAR_REFS}", "near", "nrefs", smooth=True, weight=2)}),
+{I.NEAR_SQL}, {I.LOGITS_SQL}, {_LOSS_SQL}
+SELECT 'eval_bleu_score' AS metric, round(bleu_score, 4) AS value FROM bl
+UNION ALL SELECT 'eval_EM_score' AS metric, round(avg(CASE WHEN lower(pred) = lower(ref) THEN 1.0 ELSE 0.0 END), 4) AS value FROM near
 UNION ALL SELECT 'eval_loss', round(avg(loss), 4) FROM losses""",
 )
 def q_a11(spark, d):
-    """Evaluation metrics unpivoted, names sorted, 4 decimals."""
-    em = M.exact_match(I.near(spark, d)).select(F.col("exact_match").alias("eval_EM_score"))
+    """Evaluation metrics (BLEU as the evaluation loop takes it, exact match,
+    loss) unpivoted, names sorted, 4 decimals."""
+    near = I.near(spark, d)
+    bleu = fmt_bleu(B.corpus_bleu(near, smooth=True, pair_weight=2)).select(F.col("bleu_score").alias("eval_bleu_score"))
+    em = M.exact_match(near).select(F.col("exact_match").alias("eval_EM_score"))
     loss = M.cross_entropy(I.logits(spark, d)).select("eval_loss")
-    return M.eval_report(merge_single_rows(em, loss))
+    return M.eval_report(merge_single_rows(bleu, em, loss))
 
 
 _RUN_NEAR_SQL = f"""{I.NEAR_SQL}, rn AS (SELECT id % 4 AS run, * FROM near), {NEAR_REFS}"""
@@ -248,16 +253,12 @@ SELECT CAST((SELECT count(*) FROM mpreds p JOIN rid USING (id)) AS BIGINT) AS pa
        CAST((SELECT count(*) FROM mrefs r ANTI JOIN mpreds USING (id)) AS BIGINT) AS refs_without_pred""",
 )
 def q_j1(spark, d):
-    """Pairing by id with the unmatched rows on both sides counted (one
-    full outer join of per-id summaries; both sides are unique per id)."""
-    preds, refs = I.multi(spark, d)
-    p = preds.select("id", F.lit(1).alias("has_pred"))
-    r = refs.groupBy("id").agg(F.count(F.lit(1)).alias("ref_rows"))
-    j = p.join(r, "id", "full")
-    return j.agg(
-        F.count(F.when(F.col("has_pred").isNotNull() & F.col("ref_rows").isNotNull(), 1)).cast("long").alias("paired_ids"),
-        F.count(F.when(F.col("has_pred").isNotNull() & F.col("ref_rows").isNull(), 1)).cast("long").alias("preds_without_ref"),
-        F.coalesce(F.sum(F.when(F.col("has_pred").isNull(), F.col("ref_rows"))), F.lit(0)).cast("long").alias("refs_without_pred"),
+    """Pairing by id with the unmatched rows on both sides counted."""
+    pairs, no_ref, no_pred = B.pair_predictions(*I.multi(spark, d))
+    return merge_single_rows(
+        pairs.agg(F.count_distinct("id").alias("paired_ids")),
+        no_ref.agg(F.count(F.lit(1)).alias("preds_without_ref")),
+        no_pred.agg(F.count(F.lit(1)).alias("refs_without_pred")),
     )
 
 
