@@ -342,6 +342,27 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     assert len({r.surrogate for r in got}) == 5 and not {r.surrogate for r in got} & set(forms)
 
 
+def test_pii_secrets_of_marks_and_of_little_freedom(spark):
+    marks = ["******", "......", "------", "+-+-+-", "++++++"]
+    few = [f"-----{i}" for i in range(10)]
+    texts = [f'password="{m}" end' for m in marks + few]
+    got = [r.text for r in pii.replace_entities(docs_of(spark, texts), KEY).orderBy("doc_id").collect()]
+    told = [t.split('"')[1] for t in got]
+    assert all(t.startswith('password="') and t.endswith('" end') for t in got)
+    assert len(set(told)) == len(told) and not set(told) & set(marks + few)
+    assert all(len(t) == 6 and t.isalnum() for t in told[: len(marks)])
+
+
+def test_pii_last_rounds_number_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 2)
+    # every place of one digit is an entity itself
+    forms = [("ssn", f"{i}") for i in range(10)] + [("card", f"4{i}") for i in range(10)] + [("phone", "1:5"), ("iban", "DE1")]
+    got = pii.assign_surrogates(spark.createDataFrame(forms, "kind string, form string"), KEY).collect()
+    assert {(r.kind, r.form) for r in got} == set(forms) and len(got) == len(forms)
+    told = {(r.kind, r.surrogate) for r in got}
+    assert len(told) == len(forms) and not told & set(forms)
+
+
 def test_pii_plan_has_no_python(spark):
     plan = pii.replace_entities(docs_of(spark, ["a@b.com"]), KEY)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))

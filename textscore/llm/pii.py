@@ -7,8 +7,12 @@ entity: digits for digits and letters for letters in the same places, country
 code, top-level domain, card network and Luhn status kept, names of the same
 script and gender.  A candidate that another entity drew too, or that is itself
 an entity of the corpus, is drawn anew (one entity keeps it), until all differ;
-so different entities never share a surrogate and all mentions of one entity get
-the same.  Only distinct mentions are joined, and texts are joined once, by hash.
+e-mail addresses, names and quoted secrets grow after some rounds, and what is
+still open after ``MAX_ROUNDS`` gets a number in its surrogate, of a width that no
+taken surrogate has; so different entities never share a surrogate and all
+mentions of one entity get the same.  A secret of marks only (``******``) has
+letters and digits drawn for its marks.  Only distinct mentions are joined, and
+texts are joined once, by hash.
 
 Everything runs on DataFrame functions.
 
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textscore.llm.common import written
+from textscore.operators.ordering import md5_bucket, md5_digits_for, row_number_by
 
 MAX_ROUNDS = 40
 LONGER_EVERY = 3  # rounds after which candidates of free length grow
@@ -73,7 +78,7 @@ def kind_of(mention: Column) -> Column:
         F.when(mention.rlike(r"^[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+$"), "email")
         .when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(bare & mention.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
+        .when(bare & (digits >= 9) & mention.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
         .when(bare & digits.between(13, 19), "card")
         .when(mention.rlike(r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,3})?$"), "iban")
         .when(mention.rlike(rf"^({_GIVEN})$"), "given")
@@ -151,8 +156,9 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
-def _card(form: Column, stream: Column) -> Column:
+def _card(form: Column, stream: Column, number: Column | None = None) -> Column:
     body = F.concat(F.substr(form, F.lit(1), F.lit(1)), _same_classes(F.substr(form, F.lit(2), F.length(form) - 2), stream, F.lit(False)))
+    body = body if number is None else F.concat(body, number)
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     other = (check + 1 + _draw(stream, F.length(form), 9)) % 10  # any digit but the right one
     return F.concat(body, F.when(_luhn_sum(form) % 10 == 0, check).otherwise(other).cast("string"))
@@ -182,6 +188,9 @@ def candidate(key: str, kind: Column, form: Column, attempt: int) -> Column:
     octet = lambda i: (_draw(stream, i, 254) + 1).cast("string")
     prefix = F.regexp_extract(form, f"^({PREFIXES})", 1)
     rest = F.substr(form, F.length(prefix) + 1)
+    # marks alone have nothing to redraw: their places are filled
+    filled = F.array_join(F.transform(F.split(rest, ""), lambda c, i: F.when(c != "", _letter(list("abcdefghijklmnopqrstuvwxyz0123456789"), stream, i)).otherwise("")), "")
+    redrawn = F.when(rest.rlike(r"[0-9\p{L}]"), _same_classes(rest, stream, rest.rlike("^[0-9a-f]+$"))).otherwise(filled)
     return (
         F.when(kind == "email", F.concat(local, domain, top))
         .when(kind == "phone", F.concat(code, _same_classes(F.substr(form, F.length(code) + 1), stream, no)))
@@ -190,7 +199,21 @@ def candidate(key: str, kind: Column, form: Column, attempt: int) -> Column:
         .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
         .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), _same_classes(F.substr(form, F.lit(3)), stream, no)))
         .when(kind == "name", _name(form, stream, attempt))
-        .otherwise(F.concat(prefix, _same_classes(rest, stream, rest.rlike("^[0-9a-f]+$"))))
+        .otherwise(F.concat(prefix, redrawn, F.when(prefix == "", more).otherwise("")))
+    )
+
+
+def numbered(key: str, kind: Column, form: Column, number: Column) -> Column:
+    """The surrogate with a number in it; with numbers of one width no two are alike."""
+    last = candidate(key, kind, form, MAX_ROUNDS)
+    letters = [F.translate(number, "0123456789", to) for to in ("abcdefghij", "абвгдежзик", "αβγδεζηθικ")]
+    letter = F.when(form.rlike(r"\p{IsCyrillic}"), letters[1]).when(form.rlike(r"\p{IsGreek}"), letters[2]).otherwise(letters[0])
+    return (
+        F.when(kind == "email", F.concat(F.substring_index(last, "@", 1), number, F.lit("@"), F.substring_index(last, "@", -1)))
+        .when(kind == "card", _card(form, _draws(key, kind, form, MAX_ROUNDS), number))
+        .when(kind == "ip", F.concat(last, F.lit("."), number))
+        .when(kind == "name", F.concat(last, letter))
+        .otherwise(F.concat(last, number))
     )
 
 
@@ -228,7 +251,22 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
             for d in done:
                 out = out.union(d)
             return out
-    raise RuntimeError(f"entities still share surrogates after {MAX_ROUNDS} rounds")
+    order = F.md5(F.concat_ws("|", F.lit(key), "kind", "form").cast("binary"))
+    rest = row_number_by(open_ones.withColumn("_h", order), ["_h", "kind", "form"], bucket=md5_bucket(F.col("_h"), md5_digits_for(open_ones)), out_col="_n")
+    rest = written(rest.select("kind", "form", F.col("_n").cast("string").alias("_n")), "surrogates")
+    taken = originals
+    for d in done:
+        taken = taken.union(d.select("kind", "surrogate", F.lit(True).alias("real")))
+    width = rest.agg(F.max(F.length("_n"))).first()[0]
+    while True:  # ends: a width is reached at last that makes them longer than all that are taken
+        told = rest.select("kind", "form", numbered(key, F.col("kind"), F.col("form"), F.lpad("_n", width, "0")).alias("surrogate"))
+        if told.join(taken, ["kind", "surrogate"], "left_semi").isEmpty():
+            break
+        width += 1
+    out = given.select("kind", "form", "surrogate").union(told)
+    for d in done:
+        out = out.union(d)
+    return out
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
