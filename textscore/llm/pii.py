@@ -59,14 +59,16 @@ PATTERNS = {
     r"|(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\p{L}\p{N}.])\d{13,19}(?![\p{L}\p{N}])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "given": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_GIVEN})(?!\p{{L}})(?:(?= \p{{Lu}}\p{{Ll}})|(?<=(?:{TITLES})\.? \p{{L}}{{1,20}}))",
     "name": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{TITLES})\.? )\p{{Lu}}\p{{Ll}}+"
     rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{L}}{{1,20}} )\p{{Lu}}\p{{Ll}}+"
     rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_GIVEN}) )\p{{Lu}}\p{{Ll}}+",
 }
-# no entity starts inside a word, which spares most places all further tries
-ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
+# these start inside a word too: an address after a letter, a given name after a digit
+INSIDE = ("ip", "given")
+# no other entity does, which spares most places all further tries
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in INSIDE) + ")|" + "|".join(PATTERNS[k] for k in INSIDE)
 
 
 # ------------------------------------------------------------ kinds and forms
