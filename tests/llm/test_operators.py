@@ -388,6 +388,31 @@ def test_pii_pattern_finds_what_each_kind_finds_alone(spark):
     assert out.n_entities == 2 and "10.20.30.40" not in out.text
 
 
+def test_pii_takes_entities_whole(spark):
+    long = "aB3-" * 5_000
+    texts = [
+        f'token="{long}"',
+        f"hash {'0123456789abcdef' * 20} end",
+        f"key sk-{'aB3d' * 40} end",
+        'PASSWORD="hunter22xy"',
+        "Token: 'hunter22xz'",
+        '{"password": "hunter22zz", "apiKey" : "k1k2k3k4"}',
+        "Mr. McDonald and Mr. McArthur",
+        "Ms. Smith-Jones, Ms. Smith‑Jones; Mr. Smith's car",
+        "Mr. O'Neil or Mr. O’Neil, John O'Neil",
+        "Mr. Jean-Pierre Dupont, Frau Al-sayed",
+    ]
+    got = [r.text for r in pii.replace_entities(docs_of(spark, texts), KEY).orderBy("doc_id").collect()]
+    for old in ("aB3-aB3-", "0123456789abcdef", "aB3daB3d", "hunter", "k1k2", "Donald", "Arthur", "Mc", "Smith", "Jones", "Neil", "Pierre", "Dupont", "sayed"):
+        assert not any(old in t for t in got), old
+    assert got[3].startswith('PASSWORD="') and got[5].startswith('{"password": "') and '", "apiKey" : "' in got[5]
+    assert len(got[0]) == len(texts[0]) and got[2].startswith("key sk-")
+    a, b = (got[6].split()[i] for i in (1, 4))
+    assert a != b
+    assert got[7].split()[1].rstrip(",") == got[7].split()[3].rstrip(";") and got[7].endswith("'s car")
+    assert len({got[8].split()[i].rstrip(",") for i in (1, 4, 6)}) == 1
+
+
 def test_pii_plan_has_no_python(spark):
     plan = pii.replace_entities(docs_of(spark, ["a@b.com"]), KEY)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))

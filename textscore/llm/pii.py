@@ -49,21 +49,25 @@ SYLLABLES = {  # consonants, vowels, endings
 GENDERED_ENDINGS = "ская|ский|ова|ева|ина|ов|ев|ин|ая|ий|άκη|άκης|ου|ος"
 PREFIXES = "AKIA|ghp_|gho_|ghu_|ghs_|ghr_|sk-"
 
+# A surname goes to the end of the word: inner capitals, hyphens and apostrophes, but no 's or 'll.
+_LETTERS = r"[\p{L}\p{M}]"
+_START = r"\p{Lu}(?:\p{M}*+\p{Ll}|['’]\p{L})"
+_SURNAME = rf"(?={_START})\p{{Lu}}{_LETTERS}*+(?:(?:['’](?!(?i:s|d|m|ll|re|ve)(?!\p{{L}}))|[-‐‑]){_LETTERS}++)*+"
 _GIVEN = "|".join(n for names in GIVEN_NAMES.values() for n in names.split())
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
-    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|passwd|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,256}(?=[\"'])"
-    r"|(?<![\p{L}\p{N}_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128})(?![\p{L}\p{N}_])",
+    "secret": r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey)[\"']?\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}+(?=[\"'])"
+    r"|(?<![\p{L}\p{N}_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|[0-9a-f]{32,}+)(?![\p{L}\p{N}_])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)"
     r"|(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\p{L}\p{N}.])\d{13,19}(?![\p{L}\p{N}])",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "given": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_GIVEN})(?!\p{{L}})(?:(?= \p{{Lu}}\p{{Ll}})|(?<=(?:{TITLES})\.? \p{{L}}{{1,20}}))",
-    "name": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{TITLES})\.? )\p{{Lu}}\p{{Ll}}+"
-    rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{L}}{{1,20}} )\p{{Lu}}\p{{Ll}}+"
-    rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_GIVEN}) )\p{{Lu}}\p{{Ll}}+",
+    "given": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_GIVEN})(?!\p{{L}})(?:(?= {_START})|(?<=(?:{TITLES})\.? \p{{L}}{{1,20}}))",
+    "name": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{TITLES})\.? ){_SURNAME}"
+    rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}[\p{{L}}\p{{M}}'’‐‑-]{{1,40}} ){_SURNAME}"
+    rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_GIVEN}) ){_SURNAME}",
 }
 # these start inside a word too: an address after a letter, a given name after a digit
 INSIDE = ("ip", "given")
@@ -84,7 +88,7 @@ def kind_of(mention: Column) -> Column:
         .when(bare & digits.between(13, 19), "card")
         .when(mention.rlike(r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,3})?$"), "iban")
         .when(mention.rlike(rf"^({_GIVEN})$"), "given")
-        .when(mention.rlike(r"^\p{Lu}\p{Ll}+$"), "name")
+        .when(mention.rlike(rf"^{_SURNAME}$"), "name")
         .otherwise("secret")
     )
 
@@ -99,6 +103,7 @@ def normal_form(kind: Column, mention: Column) -> Column:
         .when(kind == "phone", phone)
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
+        .when(kind == "name", F.translate(mention, "’‐‑", "'--"))
         .otherwise(mention)
     )
 
@@ -120,16 +125,24 @@ def render(kind: Column, mention: Column, surrogate: Column) -> Column:
 
 
 # ------------------------------------------------------------------ candidates
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _draws(key: str, kind: Column, form: Column, attempt: int) -> Column:
     """Four hex digits for each place of the form and some more, from SHA-256."""
-    seed = lambda i: F.sha2(F.concat_ws("|", F.lit(key), kind, form, F.lit(str(attempt)), i.cast("string")).cast("binary"), 256)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 16).cast("int") + 2), seed)
-    return F.array_join(blocks, "")
+    base = F.sha2(F.concat_ws("|", F.lit(key), kind, form, F.lit(str(attempt))).cast("binary"), 256)
+    last = F.floor(F.length(form) / 16).cast("int") + 2
+    return _bound(base, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.concat_ws("|", b, i.cast("string")).cast("binary"), 256)), ""))
+
+
+def _pieces(draws: Column) -> Column:
+    return F.regexp_extract_all(draws, F.lit(".{4}"), F.lit(0))
 
 
 def _draw(stream: Column, i: Column | int, n: int) -> Column:
-    at = (F.lit(i) if isinstance(i, int) else i) * 4 + 1
-    return (F.conv(F.substr(stream, at, F.lit(4)), 16, 10).cast("int") % n).cast("int")
+    return (F.conv(F.get(stream, F.lit(i) if isinstance(i, int) else i), 16, 10).cast("int") % n).cast("int")
 
 
 def _letter(letters: list[str], stream: Column, i: Column | int) -> Column:
@@ -140,7 +153,7 @@ def _same_classes(text: Column, stream: Column, hexadecimal: Column) -> Column:
     """Digits for digits, letters for letters of the same case; the rest stays."""
     lower, six = [chr(c) for c in range(97, 123)], list("abcdef")
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, stream: Column, hexadecimal: Column) -> Column:
         letter = F.when(hexadecimal, _letter(six, stream, i)).otherwise(_letter(lower, stream, i))
         return (
             F.when(c.rlike("^[0-9]$"), _draw(stream, i, 10).cast("string"))
@@ -149,7 +162,10 @@ def _same_classes(text: Column, stream: Column, hexadecimal: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    def all_of(st: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, ""), lambda c, i: one(c, i, st["stream"], st["hexadecimal"])), "")
+
+    return _bound(F.struct(stream.alias("stream"), hexadecimal.alias("hexadecimal")), all_of)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -179,13 +195,17 @@ def _name(form: Column, stream: Column, attempt: int) -> Column:
 
 def candidate(key: str, kind: Column, form: Column, attempt: int) -> Column:
     """The surrogate that an entity draws at an attempt."""
-    stream, no = _draws(key, kind, form, attempt), F.lit(False)
-    more = F.substr(stream, F.lit(4 * 40 + 1), F.lit(attempt // LONGER_EVERY)) if attempt >= LONGER_EVERY else F.lit("")
+    return _bound(_draws(key, kind, form, attempt), lambda draws: _bound(_pieces(draws), lambda stream: _drawn(kind, form, attempt, draws, stream)))
+
+
+def _drawn(kind: Column, form: Column, attempt: int, draws: Column, stream: Column) -> Column:
+    no = F.lit(False)
+    more = F.substr(draws, F.lit(4 * 40 + 1), F.lit(attempt // LONGER_EVERY)) if attempt >= LONGER_EVERY else F.lit("")
     more = F.translate(more, "0123456789", "ghijklmnop")
     top = F.regexp_extract(form, r"(\.[^.]*)$", 1)
     at = F.instr(form, "@")
     local = F.concat(_same_classes(F.substr(form, F.lit(1), at - 1), stream, no), more)
-    domain = _same_classes(F.substr(form, at, F.length(form) - at - F.length(top) + 1), F.reverse(stream), no)
+    domain = _same_classes(F.substr(form, at, F.length(form) - at - F.length(top) + 1), _pieces(F.reverse(draws)), no)
     code = F.regexp_extract(form, "^([0-9]*:)", 1)
     octet = lambda i: (_draw(stream, i, 254) + 1).cast("string")
     prefix = F.regexp_extract(form, f"^({PREFIXES})", 1)
@@ -212,7 +232,7 @@ def numbered(key: str, kind: Column, form: Column, number: Column) -> Column:
     letter = F.when(form.rlike(r"\p{IsCyrillic}"), letters[1]).when(form.rlike(r"\p{IsGreek}"), letters[2]).otherwise(letters[0])
     return (
         F.when(kind == "email", F.concat(F.substring_index(last, "@", 1), number, F.lit("@"), F.substring_index(last, "@", -1)))
-        .when(kind == "card", _card(form, _draws(key, kind, form, MAX_ROUNDS), number))
+        .when(kind == "card", _card(form, _pieces(_draws(key, kind, form, MAX_ROUNDS)), number))
         .when(kind == "ip", F.concat(last, F.lit("."), number))
         .when(kind == "name", F.concat(last, letter))
         .otherwise(F.concat(last, number))
