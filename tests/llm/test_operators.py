@@ -294,6 +294,24 @@ def test_decontamination_paraphrase_and_edges(spark):
     assert decontamination.contaminated(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_finds_short_items_word_for_word(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    share = 1 / np.arange(1, 3001)
+    some = lambda n: " ".join(rng.choice(vocabulary, n, p=share / share.sum()))
+    items = [(i, some(3 + i % 12)) for i in range(240)]
+    df = docs_of(spark, [f"{some(60)} {t} {some(60)}" for _, t in items])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    assert {(i, i) for i, _ in items} <= got
+    # not even a cosine of nought hides them
+    words, idf = decontamination.Words(), np.ones(3)
+    features = np.unique(decontamination.bucket_of(words.of("alpha beta gamma")))
+    model = {"features": features, "idf": idf[: len(features)], "basis": np.zeros((len(features), 1))}
+    matcher = decontamination.Matcher(model, [(1, "alpha beta gamma"), (2, "gamma alpha")])
+    assert [m[0] for m in matcher.matches("so alpha beta gamma it is")] == [1]
+
+
 def test_common_subsequence_equals_table():
     rng = random.Random(4)
     for _ in range(100):

@@ -10,6 +10,8 @@ compared with the benchmark items by cosine in that space, and each candidate is
 checked by the longest common subsequence of words, for the whole item and for
 its answer.  A subsequence of that length needs words of a certain TF-IDF weight
 at least; items whose words a stretch of the document lacks are left out there.
+Short items are compared with shorter windows too, and an item that stands word
+for word in a document is found whatever its cosine.
 
 Benchmark items are broadcast in blocks of about ``ITEM_BLOCK``.
 
@@ -32,8 +34,9 @@ from textscore.llm.common import map_batches, with_batch_columns
 
 FEATURES = 1 << 17
 PASSAGE = 64  # words of a passage in the statistics
-STEP = 8  # words; windows start and end at multiples of it
+STEP, FINE_STEP = 8, 2  # words; windows, and those under SMALLEST_WINDOW, start and end at multiples of it
 SMALLEST_WINDOW = 32
+FINE_WINDOWS = (8, 16)  # of short items, beside the smallest
 COMMON = 0.1  # terms in a larger share of the passages get no weight
 RANK, OVERSAMPLE = 96, 16
 ITEM_BLOCK = 4096
@@ -296,7 +299,10 @@ class Matcher:
             window = SMALLEST_WINDOW
             while len(words) > window - window // 4 + 1:
                 window *= 2
-            scales.setdefault(window, []).append((self.space[ids].sum(axis=0), needed, (item_id, words, answer_of(text, self.words), ids)))
+            fine = [w for w in FINE_WINDOWS if SHORT <= len(words) <= w - w // 4 + 1]
+            entry = (self.space[ids].sum(axis=0), needed, (item_id, words, answer_of(text, self.words), ids))
+            for w in (*fine, window):
+                scales.setdefault(w, []).append(entry)
         self.scales = []  # window, latent vectors of length one, weights needed, terms, items
         for window, found in sorted(scales.items()):
             vectors = np.array([f[0] for f in found])
@@ -336,28 +342,48 @@ class Matcher:
         possible = [np.flatnonzero(present[own].sum(axis=1) >= needed) for _, _, needed, own, _ in self.scales]
         if not any(map(len, possible)):
             return
-        # latent vectors up to each multiple of STEP words
-        steps = -(-len(words) // STEP)
-        at, sums = _by_key(used // STEP, self.space[ids[used]])
-        upto = np.zeros((steps + 1, sums.shape[1]))
-        upto[at + 1] = sums
-        upto = np.cumsum(upto, axis=0)
+        upto: dict[int, np.ndarray] = {}
         for (window, vectors, _, _, items), chosen in zip(self.scales, possible, strict=True):
             if not len(chosen):
                 continue
-            wide = window // STEP
+            step = STEP if window >= SMALLEST_WINDOW else FINE_STEP
+            steps, wide = -(-len(words) // step), window // step
+            if step not in upto:
+                upto[step] = self._latent_upto(used, ids, step, steps)
             starts = np.arange(0, max(1, steps - wide + wide // 4), wide // 4)
             ends = np.minimum(starts + wide, steps)
-            latent = upto[ends] - upto[starts]
+            latent = upto[step][ends] - upto[step][starts]
             latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
             cosines = latent @ vectors[chosen].T
             for i, j in zip(*np.nonzero(cosines >= MIN_COSINE), strict=True):
                 item = items[chosen[j]]
-                a, b = int(starts[i]) * STEP, int(ends[i]) * STEP
-                near = words[max(0, a - window // 4) : b + window // 4].tolist()
+                a, b = int(starts[i]) * step, int(ends[i]) * step
+                beside = max(window // 4, (SMALLEST_WINDOW * 3 // 2 - window) // 2)
+                near = words[max(0, a - beside) : b + beside].tolist()
                 shares = self._check(item, near, found.get(item[0], (0, 0, 0))[1])
                 if shares:
                     found[item[0]] = (float(cosines[i, j]), *shares)
+            # the same items come with the larger windows
+            for j, c in enumerate(chosen if window >= SMALLEST_WINDOW else ()):
+                item = items[c]
+                if found.get(item[0], (0, 0, 0))[1] < 1 and self._stands(item, words):
+                    found[item[0]] = (float(cosines[:, j].max()), 1.0, 1.0)
+
+    def _stands(self, item: tuple, words: np.ndarray) -> bool:
+        """Whether the item stands word for word in ``words``."""
+        run = np.array(item[1], np.uint64)
+        if len(run) > len(words):
+            return False
+        rarest = int(np.argmax(self.idf[item[3]]))
+        starts = np.flatnonzero(words[rarest : len(words) - len(run) + 1 + rarest] == run[rarest])
+        return any((words[a : a + len(run)] == run).all() for a in starts.tolist())
+
+    def _latent_upto(self, used: np.ndarray, ids: np.ndarray, step: int, steps: int) -> np.ndarray:
+        """Latent vectors up to each multiple of ``step`` words."""
+        at, sums = _by_key(used // step, self.space[ids[used]])
+        upto = np.zeros((steps + 1, sums.shape[1]))
+        upto[at + 1] = sums
+        return np.cumsum(upto, axis=0)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, out_col: str = "matches") -> DataFrame:
