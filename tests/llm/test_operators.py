@@ -312,6 +312,30 @@ def test_decontamination_finds_short_items_word_for_word(spark):
     assert [m[0] for m in matcher.matches("so alpha beta gamma it is")] == [1]
 
 
+def test_decontamination_words_of_any_script():
+    words = decontamination.Words()
+    of = lambda t: words.of(t).tolist()
+    assert len(of("中文，测试。")) == 4 and of("测试")[0] == of("中文测试")[2]
+    assert of("«Größe» — naïve…") == of("größe naïve") and len(of("größe naïve")) == 2
+    assert of("plain words") == of("plain words é")[:2] and len(of("어느 강이")) == 2
+    block = decontamination.TEXT_BLOCK
+    for blank in "\n", "\t", ",", "。":
+        long = f"seven{blank}" * (block // 6 + 50_000)
+        assert len(set(of(long))) == 1 and len(of(long)) == block // 6 + 50_000
+    assert of("") == [] and of(None) == [] and of("，。") == []
+
+
+def test_decontamination_finds_a_chinese_item(spark):
+    item = "北方七条河流中哪一条在初夏向冰冻的海洋输送最多的水？答案：漫长的勒拿河。"
+    thai = "แม่น้ำสายใดในเจ็ดสายทางเหนือพาน้ำไปสู่ทะเลมากที่สุดในต้นฤดูร้อน"
+    changed = item.replace("北方", "").replace("输送", "带去")
+    filler = [f"关于花园和自行车的第{i}个句子，与河无关。" for i in range(30)]
+    texts = [f"前面的话{item[:-1]}后面的话", f"也有人问{changed}然后继续", f"ก่อนหน้านี้{thai}หลังจากนั้น", *filler]
+    bench = spark.createDataFrame([(1, item), (2, thai)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 2)}
+
+
 def test_common_subsequence_equals_table():
     rng = random.Random(4)
     for _ in range(100):

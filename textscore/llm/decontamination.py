@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +47,42 @@ MIN_ANSWER = 0.5
 SHORT = 8
 TOKENS = 1 << 17  # words handled at a time
 SEGMENT = 1024  # words of a document searched at a time, beside the overlap
-TEXT_BLOCK = 1 << 20  # bytes hashed at a time; only a word longer than this is cut
+TEXT_BLOCK = 1 << 20  # characters hashed at a time; only a word longer than this is cut
 ANSWER = re.compile(r"(?is)^.*(?:\?|\banswer\s*:)(.*\w.*)$")
 
 BASE = 0x100000001B3  # odd, so it has an inverse modulo 2**64
-WORD_BYTES = np.array([b if b >= 128 or chr(b).isalnum() or b == 95 else 0 for b in range(256)], np.uint8)
+NO_WORD, IN_WORD, ONE_WORD = 0, 1, 2
+# scripts written without blanks: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han
+UNSPACED = [
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31A0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+]
+
+
+def _classes() -> np.ndarray:
+    """Whether a character belongs to no word, to a word, or is one by itself."""
+    out = np.full(0x110000, IN_WORD, np.uint8)
+    for first, last in UNSPACED:
+        out[first : last + 1] = ONE_WORD
+    for c in range(128):
+        out[c] = IN_WORD if chr(c).isalnum() or c == 95 else NO_WORD
+    for c in range(128, 0x20000):  # no marks, blanks or symbols beyond
+        if unicodedata.category(chr(c)) in ("Cc", "Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "Sc", "Sk", "Sm", "So", "Zl", "Zp", "Zs"):
+            out[c] = NO_WORD
+    out[[0x200B, 0xFEFF]] = NO_WORD  # blanks of no width
+    return out
+
+
+CLASSES = _classes()
 
 
 class Words:
     """Words of a text as 64-bit hashes, computed for all of them at once.
 
-    A word is a run of ASCII letters, digits and underscores or non-ASCII bytes of
-    the lower-cased text.  Its hash is a polynomial in its bytes, taken from one
-    running sum over the text.
+    A word is a run of letters, digits, underscores and marks of the lower-cased
+    text; punctuation, blanks and symbols of any script end it.  In scripts written
+    without blanks each character is a word.  Its hash is a polynomial in its
+    characters, taken from one running sum over the text.
     """
 
     def __init__(self) -> None:
@@ -70,24 +94,29 @@ class Words:
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
-    def _hashes(self, raw: bytes) -> np.ndarray:
-        x = WORD_BYTES[np.frombuffer(raw, np.uint8)]
-        edges = np.flatnonzero(np.diff((x > 0).view(np.int8), prepend=0, append=0))
-        starts, ends = edges[::2], edges[1::2]
+    def _hashes(self, x: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        word, one = classes != NO_WORD, classes == ONE_WORD
+        apart = one[1:] | one[:-1] | ~word[1:] | ~word[:-1]  # between two neighbours
+        starts = np.flatnonzero(word & np.concatenate(([True], apart))) if len(x) else np.zeros(0, np.int64)
+        ends = np.flatnonzero(word & np.concatenate((apart, [True]))) + 1 if len(x) else starts
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * self.powers[: len(x)], dtype=np.uint64)))
         h = (sums[ends] - sums[starts]) * self.inverse[starts]
         h ^= h >> np.uint64(29)
         return h * np.uint64(0x9E3779B97F4A7C15)
 
     def of(self, text: str | None) -> np.ndarray:
-        raw = (text or "").lower().encode("utf-8", "surrogatepass")
-        if len(raw) <= TEXT_BLOCK:
-            return self._hashes(raw)
+        text = (text or "").lower()
+        x = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        classes = CLASSES[x]
+        if len(x) <= TEXT_BLOCK:
+            return self._hashes(x, classes)
         parts, at = [], 0
-        while at < len(raw):
-            cut = raw.rfind(b" ", at, at + TEXT_BLOCK) if at + TEXT_BLOCK < len(raw) else len(raw)
-            cut = cut if cut > at else at + TEXT_BLOCK
-            parts.append(self._hashes(raw[at:cut]))
+        while at < len(x):
+            cut = min(at + TEXT_BLOCK, len(x))
+            if cut < len(x):
+                edges = np.flatnonzero(classes[at:cut] != IN_WORD)
+                cut = at + int(edges[-1]) + 1 if len(edges) else cut
+            parts.append(self._hashes(x[at:cut], classes[at:cut]))
             at = cut
         return np.concatenate(parts)
 
