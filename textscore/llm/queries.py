@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textscore.llm import ann, decontamination, langid, packing, pii, quality, simhash, token_counts, toxicity, url_filter
+from textscore.llm import ann, concat_cut, decontamination, langid, packing, pii, quality, simhash, token_counts, toxicity, url_filter
 from textscore.session import table_path
 
 QUERIES = {}
@@ -86,3 +86,9 @@ def op9_nearest_neighbours(spark, sf_dir):
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), folds=5, held_out_fold=0)
+
+
+@query
+def op11_concatenate_and_cut(spark, sf_dir):
+    path = tokenizer_path("word_bpe_49k.json")
+    return concat_cut.pieces(concat_cut.concatenate_and_cut(read(spark, sf_dir, "documents"), path, length=2048, end_id=1))
