@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textscore.llm import concat_cut, encoding
+from textscore.llm import concat_cut, encoding, merkle
 from textscore.llm.queries import QUERIES, read, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -69,9 +69,14 @@ def test_packing_of_edge_rows(spark, monkeypatch, length, chunk, parts):
     texts = [*enumerate(ODD if length > 1 else ODD[:9]), (None, "no id"), (3, "x"), (3, "another text of a known id")]
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS).repartition(parts)
     frame = frame.withColumns({c: F.lit(7) for c in ("task", "at", "n", "ids", "base", "total", "begin", "spans", "sequence_id")})
-    sequences = concat_cut.concatenate_and_cut(frame, TOKENIZER, length)
-    check_packing(concat_cut.pieces(sequences).collect(), texts, length)
-    assert all(r.n_tokens == len(r.ids) // 4 == sum(s.length for s in r.spans) for r in sequences.collect())
+    windows = concat_cut.concatenate_and_cut(frame, TOKENIZER, length)
+    pieces = concat_cut.pieces(windows).collect()
+    check_packing(pieces, texts, length)
+    joined = concat_cut.sequences(windows).collect()
+    assert sorted(r.sequence_id for r in joined) == sorted({r.sequence_id for r in pieces})
+    assert all(r.n_tokens == len(r.ids) // 4 == sum(s.length for s in r.spans) for r in joined)
+    crc = {(r.sequence_id, s.offset): zlib.crc32(r.ids[4 * s.offset : 4 * (s.offset + s.length)]) for r in joined for s in r.spans}
+    assert crc == {(r.sequence_id, r.offset): r.ids_crc32 for r in pieces}
 
 
 def test_packing_without_broadcast_and_without_rows(spark, monkeypatch):
@@ -94,3 +99,110 @@ def test_encoder_equals_the_library_also_with_a_full_cache(monkeypatch):
 
 def test_tail_is_cut_at_powers_of_two():
     assert [concat_cut.place(p, 21, 8) for p in (0, 8, 15, 16, 19, 20)] == [(0, 0, 8), (1, 0, 8), (1, 7, 8), (2, 0, 4), (2, 3, 4), (3, 0, 1)]
+
+
+# ---------------------------------------------------------------- merkle
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_by_hand(*values):
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def tree_by_hand(nodes):
+    """Root, and for each leaf the siblings left and right at each level."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, p in enumerate(at):
+            first = p - p % 3
+            paths[k].append((nodes[first:p], nodes[p + 1 : first + 3]))
+        at = [p // 3 for p in at]
+        nodes = [sha(*nodes[i : i + 3]) for i in range(0, len(nodes), 3)]
+    return nodes[0] if nodes else None, paths
+
+
+def manifest_by_hand(rows):
+    """rows: (doc_id, source, lang, n_chars, text); the query's result as a sorted list."""
+    groups = defaultdict(list)
+    for r in rows:
+        tampered = r[4] if r[4] is None or r[0] is None or zlib.crc32(str(r[0]).encode()) % 2 else r[4].replace("\n", "")
+        groups[r[1]].append(((r[0] is not None, r[0] or 0, leaf_by_hand(r[0], r[1], r[2], r[3], r[4]), leaf_by_hand(*r[:4], tampered)), r[0]))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree_by_hand([k[2] for k, _ in sorted(groups[s], key=lambda x: x[0])]) for s in order}
+    root, above = tree_by_hand([trees[s][0] for s in order])
+    out = []
+    for s, up in zip(order, above):
+        for (key, doc), path in zip(sorted(groups[s], key=lambda x: x[0]), trees[s][1]):
+            folded = key[3]
+            for left, right in path + up:
+                folded = sha(*left, folded, *right)
+            proof = sha(*(h for left, right in path + up for h in left + right))
+            out.append((str(doc), key[2], trees[s][0], root, proof, folded, folded == root))
+    return sorted(out)
+
+
+FIELDS = "doc_id leaf subroot root proof_sha256 folded_root verified".split()
+
+
+def as_listed(rows):
+    return sorted((str(r.doc_id), *(r[c] for c in FIELDS[1:])) for r in rows)
+
+
+def test_manifest_equals_brute_force(spark):
+    rows = [tuple(r[c] for c in ("doc_id", "source", "lang", "n_chars", "text")) for r in read(spark, SF, "documents").collect()]
+    got = QUERIES["op12_merkle_manifest"](spark, SF)
+    assert got.columns[0] == "doc_id" and set(FIELDS) <= set(got.columns)
+    assert as_listed(got.collect()) == manifest_by_hand(rows)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 5])
+def test_manifest_of_edge_rows(spark, tmp_path, monkeypatch, levels):
+    rows = [(i, "hot", "en", 3, f"line {i}\nnext") for i in range(100)]
+    rows += [(i, s, None, None, None) for i, s in enumerate([None, "", "é", "z", None, "lone"])]
+    rows += [(None, "hot", None, 1, "a\nb"), (5, "hot", "en", 3, "another text\n"), (5, "hot", "en", 3, "another text\n"), (-7, "é", "x", 0, ""), (7, "z", "x", 9, "y\n" * 90_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    df = df.withColumns({c: F.lit(7) for c in ("pos", "n", "group", "leaf", "block", "hash", "found", "group_pos")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    build, prove = merkle.build, merkle.prove
+    monkeypatch.setattr(merkle, "build", lambda *a, **k: build(*a, **k, levels=levels))
+    monkeypatch.setattr(merkle, "prove", lambda *a: prove(*a, levels=levels))
+    assert as_listed(QUERIES["op12_merkle_manifest"](spark, str(tmp_path)).collect()) == manifest_by_hand(rows)
+
+
+def test_manifest_of_one_row_and_of_none(spark, tmp_path):
+    df = spark.createDataFrame([(4, "s", "en", 3, "a\nb")], "doc_id long, source string, lang string, n_chars long, text string")
+    for name, part in (("one", df), ("none", df.limit(0))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        want = manifest_by_hand([tuple(r) for r in part.collect()])
+        assert as_listed(QUERIES["op12_merkle_manifest"](spark, f"{tmp_path}/{name}").collect()) == want
+
+
+def test_multiproof_of_a_subset(spark):
+    rows = [(i, "ab"[i % 7 == 0], sha(str(i))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, leaf string").withColumns({"found": F.col("leaf"), "pos": F.lit(7), "n": F.lit(7)})
+    manifest = merkle.build(df, "source", "doc_id", "leaf", keep=["found"], levels=3)
+    got = merkle.prove(manifest, "leaf", "found", "doc_id", subset=F.col("doc_id").isin([0, 1, 2, 50, 51, 399]), levels=3).collect()
+    order = {s: [r[2] for r in rows if r[1] == s] for s in "ab"}
+    trees = {s: tree_by_hand(order[s]) for s in "ab"}
+    root, above = tree_by_hand([trees["a"][0], trees["b"][0]])
+    assert {r.id for r in got} == {0, 1, 2, 50, 51, 399} and all(r.verified and r.root == root for r in got)
+    for r in got:
+        s = "ab"[r.id % 7 == 0]
+        path = trees[s][1][order[s].index(sha(str(r.id)))] + above["ab".index(s)]
+        assert r.proof == [h for left, right in path for h in left + right]
+
+
+def test_missing_coordinates_are_the_least():
+    rng = random.Random(2)
+    for n in (1, 2, 3, 4, 10, 100, 243, 244):
+        for _ in range(20):
+            held = rng.sample(range(n), rng.randint(1, n))
+            count, level, known, want = n, 0, set(held), set()
+            while count > 1:  # siblings on some path that no leaf of the set lies below
+                for p in known:
+                    first = p - p % 3
+                    want |= {(level, q) for q in range(first, min(first + 3, count)) if q not in known}
+                known, count, level = {p // 3 for p in known}, -(-count // 3), level + 1
+            got = merkle.missing_coordinates(held, n)
+            assert len(got) == len(set(got)) and set(got) == want

@@ -166,10 +166,12 @@ def cut(placed: DataFrame, length: int) -> DataFrame:
 
 
 def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each sequence: ``(sequence_id, n_tokens, ids, spans)``.
+    """The stream's windows: ``(sequence_id, begin, ids, spans, whole)``.
 
     ``ids`` are little-endian unsigned 32-bit numbers, ``spans`` say which part of
-    which document lies where.  Sequence ids count from 0 without gaps.
+    which document lies at which offset of the sequence.  A row is a sequence
+    (``whole``) or a boundary record: the part of one from offset ``begin`` on.
+    Sequence ids count from 0 without gaps.
     """
     stream = token_stream(docs, tokenizer_path, end_id, id_col, text_col)
     offsets = stream_offsets(stream)
@@ -177,7 +179,11 @@ def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, length: int = 2048
         placed = stream.join(F.broadcast(offsets), "task")
     else:  # the shuffle mixes the rows of a task, so they are put in order again
         placed = stream.join(offsets, "task").sortWithinPartitions("task", "at")
-    windows = cut(placed, length)
+    return cut(placed, length)
+
+
+def sequences(windows: DataFrame) -> DataFrame:
+    """One row for each sequence, boundary records joined: ``(sequence_id, n_tokens, ids, spans)``."""
     records = windows.where("not whole").groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("begin", "ids", "spans"))).alias("parts"))
     joined = records.select(
         "sequence_id",
@@ -188,10 +194,13 @@ def concatenate_and_cut(docs: DataFrame, tokenizer_path: str, length: int = 2048
     return whole.select("sequence_id", F.expr("cast(octet_length(ids) div 4 as int)").alias("n_tokens"), "ids", "spans")
 
 
-def pieces(sequences: DataFrame) -> DataFrame:
-    """One row for each document's part in each sequence, with the CRC-32 of its ids."""
+def pieces(windows: DataFrame) -> DataFrame:
+    """One row for each document's part in each sequence, with the CRC-32 of its ids.
+
+    A boundary record holds its documents' parts whole, so this needs no join.
+    """
     digest = F.transform("spans", lambda s: F.struct(
         s["doc_id"].alias("doc_id"), s["start"].alias("start"), s["length"].alias("length"),
-        F.crc32(F.substring(F.col("ids"), (s["offset"] * 4 + 1).cast("int"), (s["length"] * 4).cast("int"))).alias("ids_crc32"),
+        F.crc32(F.substring(F.col("ids"), ((s["offset"] - F.col("begin")) * 4 + 1).cast("int"), (s["length"] * 4).cast("int"))).alias("ids_crc32"),
         s["doc_tokens"].alias("doc_tokens"), s["offset"].alias("offset")))
-    return sequences.select("sequence_id", F.inline(digest)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return windows.select("sequence_id", F.inline(digest)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 from textscore.llm.token_counts import PIECE, PLAIN, TOKENIZER_PIECE, SPACES, byte_letters, words_of
 
-MAX_WORDS = 400_000  # words, and as many parts of words, that a worker keeps
+MAX_WORDS = 700_000  # words, and half as many parts of words, that a worker keeps
 MAX_WORD = 200  # longer words are not kept
 BLOCK = 1 << 20  # characters taken at a time
+PIECE_OR_END = re.compile(PIECE.pattern + r"|\n")
 
 
 def blocks(text: str, size: int) -> Iterator[str]:
@@ -47,28 +48,29 @@ class TextEncoder:
         self.letters = byte_letters()
         self.plain_cut = TOKENIZER_PIECE in json.dumps(model["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _plain(self, word: str) -> bytes:
-        out = []
-        for p in PIECE.findall(word.lower()):
-            ids = self.pieces.get(p)
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words not kept so far."""
+        special, pieces, tokenize = self.special, self.pieces, self.tokenizer.model.tokenize
+        plain = [w for w in words if self.plain_cut and PLAIN.fullmatch(w) and not ("<" in w and special and special.search(w))]
+        new, out, k = {}, [], 0
+        # all at once: a line end closes each word and is no part of any piece
+        for p in PIECE_OR_END.findall("\n".join([*plain, ""]).lower()):
+            if p == "\n":
+                new[plain[k]] = out[0] if len(out) == 1 else b"".join(out)
+                k += 1
+                out = []
+                continue
+            ids = pieces.get(p)
             if ids is None:
-                letters = p if p.isascii() else "".join(self.letters[b] for b in p.encode())
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+                letters = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+                ids = array("I", [t.id for t in tokenize(letters)]).tobytes()
                 if len(p) <= MAX_WORD:
-                    self.pieces[p] = ids
+                    pieces[p] = ids
             out.append(ids)
-        return b"".join(out)
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words not kept so far."""
-        special, new, other = self.special, {}, []
-        for w in words:
-            if self.plain_cut and PLAIN.fullmatch(w) and not ("<" in w and special and special.search(w)):
-                new[w] = self._plain(w)
-            else:
-                other.append(w)
+        other = [w for w in words if w not in new]
         for k in range(0, len(other), 10_000):
             part = other[k : k + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -79,17 +81,20 @@ class TextEncoder:
         out = []
         for block in blocks(text, BLOCK):
             words = words_of(block)
-            known = self.words
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                new = self._learn({w for w in words if w not in known})
-                if len(known) + len(new) > MAX_WORDS or len(self.pieces) > MAX_WORDS:
-                    here = set(words)
-                    known = {w: ids for w, ids in known.items() if w in here}
-                    self.words, self.pieces = {}, {}
-                out.append(b"".join([new[w] if w in new else known[w] for w in words]))
-                self.words.update((w, ids) for w, ids in new.items() if len(w) <= MAX_WORD)
+            known, long = self.words, ()
+            unmet = set(words).difference(known)
+            if unmet:
+                old = self.old
+                known.update({w: old[w] for w in unmet if w in old})
+                known.update(self._learn([w for w in unmet if w not in known]))
+                long = [w for w in unmet if len(w) > MAX_WORD]
+            out.append(b"".join(map(known.__getitem__, words)))
+            for w in long:
+                del known[w]
+            if len(known) > MAX_WORDS // 2:  # words in use come back from the old half
+                self.old, self.words = known, {}
+            if len(self.pieces) > MAX_WORDS // 2:
+                self.pieces = {}
         return b"".join(out)
 
     def count(self, text: str) -> int:

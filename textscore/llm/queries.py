@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from textscore.llm import ann, concat_cut, decontamination, langid, packing, pii, quality, simhash, token_counts, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from textscore.llm import ann, concat_cut, decontamination, langid, merkle, packing, pii, quality, simhash, token_counts, toxicity, url_filter
 from textscore.session import table_path
 
 QUERIES = {}
@@ -92,3 +94,15 @@ def op10_toxicity(spark, sf_dir):
 def op11_concatenate_and_cut(spark, sf_dir):
     path = tokenizer_path("word_bpe_49k.json")
     return concat_cut.pieces(concat_cut.concatenate_and_cut(read(spark, sf_dir, "documents"), path, length=2048, end_id=1))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    named = [F.col(c) for c in fields]
+    # what a later reader finds: some documents have lost their line ends
+    text = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", merkle.leaf_hash(*named).alias("leaf"), merkle.leaf_hash(*named[:-1], text).alias("found"))
+    manifest = merkle.build(docs, "source", "doc_id", "leaf", keep=["found"])
+    proven = merkle.prove(manifest, "leaf", "found", "doc_id").withColumnRenamed("id", "doc_id")
+    return proven.drop("proof")
