@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textscore.llm import concat_cut, encoding, merkle
+from textscore.llm import concat_cut, encoding, merkle, prefix_trie
 from textscore.llm.queries import QUERIES, read, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -206,3 +206,82 @@ def test_missing_coordinates_are_the_least():
                 known, count, level = {p // 3 for p in known}, -(-count // 3), level + 1
             got = merkle.missing_coordinates(held, n)
             assert len(got) == len(set(got)) and set(got) == want
+
+
+# ---------------------------------------------------------------- prefix trie
+COLUMNS = "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256".split()
+
+
+def trie_by_hand(rows):
+    """rows: (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+    members = defaultdict(list)
+    rebuilt = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        turns = rebuilt[c] = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children[node]
+        leaves[node] = sum(leaves[x] for x in below) if below else 1
+        saved[node] = (len(members[node]) - 1) * (len(node[-1][1]) if node else 0) + sum(saved[x] for x in below)
+    out = []
+    for node, cs in members.items():
+        ends = ",".join(str(c) for c in sorted(cs) if len(rebuilt[c]) == len(node))
+        out.append((min(cs), len(node), min(members[node[:-1]]) if node else None, len(cs), len(children[node]), leaves[node], saved[node], sha(ends)))
+    return sorted(out)
+
+
+def test_trie_equals_brute_force(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        rows = [tuple(r[c] for c in ("conv_id", "turn", "role", "text")) for r in read(spark, sf, "conversations").collect()]
+        got = QUERIES["op13_prefix_trie"](spark, sf)
+        assert got.columns == COLUMNS
+        assert sorted(tuple(r) for r in got.collect()) == trie_by_hand(rows)
+
+
+def odd_conversations():
+    rng = random.Random(6)
+    texts = ["", None, "a", "b", "🙂 é", "long " * 3000]
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(texts)) for c in [*range(0, 40), 100, 103, 104, 205, 2**40] for t in range(rng.randint(1, 7))]
+    rows += [(c, t, "user", "same first words") for c in range(300, 420) for t in range(3)]  # copies, also without a base
+    rows += [(7, None, "user", "no turn number"), (7, None, "a", "another"), (7, 2, None, None), (7, 2, None, None), (None, 0, "user", "no id"), (None, None, None, None)]
+    rows += [(150, t, "user", f"turn {t % 5}") for t in range(400)] + [(151, t, "user", f"turn {t % 5}") for t in range(300)]
+    return rows
+
+
+@pytest.mark.parametrize("seed, primes, ranges", [(0, prefix_trie.PRIMES, 4096), (5, prefix_trie.PRIMES, 16), (1, (1009, 1013, 61, 67), 4096)])
+def test_trie_of_edge_rows_also_after_collisions(spark, tmp_path, monkeypatch, seed, primes, ranges):
+    monkeypatch.setattr(prefix_trie, "RANGE", ranges)
+    monkeypatch.setattr(prefix_trie, "HUBS", 3)
+    monkeypatch.setattr(prefix_trie, "CHUNK", 20)
+    trie = prefix_trie.trie
+    monkeypatch.setattr(prefix_trie, "trie", lambda *a, **k: trie(*a, **k, seed=seed, primes=primes))
+    rows = odd_conversations()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    df = df.withColumns({c: F.lit(7) for c in ("depth", "k1", "a", "i", "range", "n", "first", "parent", "rn")})
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op13_prefix_trie"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == trie_by_hand(rows)
+
+
+def test_trie_notices_collisions(spark):
+    df = spark.createDataFrame([(c, 0, "user", f"text {c}") for c in range(100, 140)], "conv_id long, turn long, role string, text string")
+    turns, sound = prefix_trie.stored_turns(df, 0, (5, 5, 5, 5))
+    rebuilt = prefix_trie.rebuilt_turns(turns, lambda c: c, lambda c: F.lit(0), 1, 0, (5, 5, 5, 5))
+    assert sound and not prefix_trie.prefix_nodes(rebuilt)[1]
+
+
+def test_trie_of_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert QUERIES["op13_prefix_trie"](spark, str(tmp_path)).collect() == []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textscore.llm import ann, concat_cut, decontamination, langid, merkle, packing, pii, quality, simhash, token_counts, toxicity, url_filter
+from textscore.llm import ann, concat_cut, decontamination, langid, merkle, packing, pii, prefix_trie, quality, simhash, token_counts, toxicity, url_filter
 from textscore.session import table_path
 
 QUERIES = {}
@@ -106,3 +106,13 @@ def op12_merkle_manifest(spark, sf_dir):
     manifest = merkle.build(docs, "source", "doc_id", "leaf", keep=["found"])
     proven = merkle.prove(manifest, "leaf", "found", "doc_id").withColumnRenamed("id", "doc_id")
     return proven.drop("proof")
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(
+        read(spark, sf_dir, "conversations"),
+        base_of=lambda c: c - c % 100,
+        head_of=lambda c: F.crc32(c.cast("string").cast("binary")) % 6,
+        longest_head=5,
+    )
