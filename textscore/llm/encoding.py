@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 from textscore.llm.token_counts import PIECE, PLAIN, TOKENIZER_PIECE, SPACES, byte_letters, words_of
 
-MAX_WORDS = 700_000  # words, and half as many parts of words, that a worker keeps
+MAX_WORDS = 500_000  # words, and half as many parts of words, that a worker keeps
 MAX_WORD = 200  # longer words are not kept
 BLOCK = 1 << 20  # characters taken at a time
 PIECE_OR_END = re.compile(PIECE.pattern + r"|\n")
