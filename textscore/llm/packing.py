@@ -18,13 +18,15 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textscore.llm.encoding import encoder, shared_tokenizer
+
 WINDOW = 50_000  # pieces packed together
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 
@@ -65,15 +67,12 @@ def pack(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int], flo
     return bins, offsets, final
 
 
-def pack_documents(
-    docs: DataFrame, size_col: str = "n_tokens", id_col: str = "doc_id", lengths: Sequence[int] = LENGTHS,
-    cost: Callable[[int], float] = sequence_cost, window: int = WINDOW,
-) -> DataFrame:
-    """One row for each piece: ``(doc_id, piece, start, n_tokens, bin_id, bin_offset, bin_length)``."""
+def _packed(rows: DataFrame, sizes: Callable[[], Callable[[pa.Array], Iterator[int | None]]], lengths: Sequence[int], cost: Callable[[int], float], window: int) -> DataFrame:
+    """Pieces of the rows ``(id, x)``; ``sizes()`` gives the tokens of a batch of ``x``."""
     longest = max(lengths)
 
     def run(batches):
-        bin_base, pieces = TaskContext.get().partitionId() << 36, []
+        bin_base, pieces, tokens_of = TaskContext.get().partitionId() << 36, [], sizes()
 
         def flush():
             nonlocal bin_base
@@ -89,7 +88,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for doc, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, size in zip(batch.column(0).to_pylist(), tokens_of(batch.column(1)), strict=True):
                 starts = range(0, size or 1, longest)
                 for k, start in enumerate(starts):
                     pieces.append((doc, k, start, min(longest, (size or 0) - start)))
@@ -98,5 +97,28 @@ def pack_documents(
         if pieces:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.col(size_col), F.lit(0)).cast("long").alias("size"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, n_tokens int, bin_id long, bin_offset int, bin_length int")
+
+
+def pack_documents(
+    docs: DataFrame, size_col: str = "n_tokens", id_col: str = "doc_id", lengths: Sequence[int] = LENGTHS,
+    cost: Callable[[int], float] = sequence_cost, window: int = WINDOW,
+) -> DataFrame:
+    """One row for each piece: ``(doc_id, piece, start, n_tokens, bin_id, bin_offset, bin_length)``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.col(size_col), F.lit(0)).cast("long").alias("size"))
+    return _packed(rows, lambda: lambda x: iter(x.to_pylist()), lengths, cost, window)
+
+
+def pack_texts(
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", lengths: Sequence[int] = LENGTHS,
+    cost: Callable[[int], float] = sequence_cost, window: int = WINDOW,
+) -> DataFrame:
+    """``pack_documents`` by the texts' own token counts: a task counts and packs in one
+    pass and hands back pieces only (a null text is empty)."""
+    shared = shared_tokenizer(docs.sparkSession, tokenizer_path)
+
+    def sizes():
+        own = encoder(shared.value)
+        return lambda texts: (own.count(t.as_py() or "") for t in texts)
+
+    return _packed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), sizes, lengths, cost, window)

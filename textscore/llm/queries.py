@@ -47,8 +47,7 @@ def op3_token_counts(spark, sf_dir):
 
 @query
 def op4_best_fit_packing(spark, sf_dir):
-    counted = token_counts.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), budget=max(packing.LENGTHS), fit_col=None)
-    return packing.pack_documents(counted)
+    return packing.pack_texts(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 @query
