@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import decontamination, langid, packing, pii, simhash, token_counts
+from textscore.llm import decontamination, langid, packing, pii, simhash
 from textscore.llm.common import crc_mod, written
 from textscore.llm.queries import PII_KEY, read, tokenizer_path
 
@@ -46,9 +46,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the packed sequences."""
-    path = tokenizer_path("word_bpe_49k.json")
-    counted = token_counts.token_counts(docs.select("doc_id", "text"), path, budget=max(packing.LENGTHS), fit_col=None)
-    return packing.pack_documents(counted)
+    return packing.pack_texts(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
