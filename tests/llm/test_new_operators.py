@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textscore.llm import concat_cut, encoding, merkle, prefix_trie
+from textscore.llm import ann, concat_cut, encoding, langid, merkle, packing, prefix_trie, quality
 from textscore.llm.queries import QUERIES, read, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -285,3 +285,41 @@ def test_trie_notices_collisions(spark):
 def test_trie_of_no_rows(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert QUERIES["op13_prefix_trie"](spark, str(tmp_path)).collect() == []
+
+
+# ---------------------------------------------------------------- mended rows
+def test_texts_are_counted_and_packed_in_one_pass(spark):
+    ids = library_ids()
+    df = spark.createDataFrame([(i, t, 7, 7) for i, t in enumerate([*ODD, "w " * 20_000])], "doc_id long, text string, size int, piece int")
+    got = defaultdict(list)
+    for r in packing.pack_texts(df, TOKENIZER, lengths=(64, 256)).collect():
+        got[r.doc_id].append(r)
+    for r in df.collect():
+        assert sum(p.n_tokens for p in got[r.doc_id]) == len(ids(r.text))
+    bins = defaultdict(int)
+    for p in (p for ps in got.values() for p in ps if p.bin_id is not None):
+        bins[p.bin_id, p.bin_length] += p.n_tokens
+    assert all(n <= length for (_, length), n in bins.items())
+
+
+def test_digits_are_no_letters(spark):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["½ ² ①", "٣ 12 _", "Ⅷ", "hello there", "ª"])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert got[0] == got[1] == got[2] == "und" and got[3] == got[4] == "en"
+
+
+def test_large_small_and_mixed_length_vectors_are_found(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-300, 0.0]), (50, [0.0, 3.0, 4.0]), (51, [0.0, 4.0, 3.0]), (100, [5e-324, 5e-324])]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", k=5).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 12)))
+    assert sorted(got[0]) == [(1, 2, 1.0), (2, 1, round(0.5**0.5, 12)), (3, 100, round(0.5**0.5, 12))]
+    assert sorted(got[50]) == [(1, 51, 0.96)] and [x[1] for x in sorted(got[100])] == [1, 0, 2]
+
+
+def test_quality_with_one_rare_label(spark):
+    texts = [f"plain words number {i} in a row" for i in range(60)] + ["$$$ ### !!!"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    for rare in range(0, 61, 12):
+        labels = spark.createDataFrame([(i, int(i != rare)) for i in range(61)], "doc_id long, quality int")
+        assert all(0 <= r.score <= 1 for r in quality.score(docs, labels, rounds=1).collect())

@@ -8,8 +8,8 @@ only vectors whose upper bound reaches the k-th best found so far are compared
 in full, on the original vectors in double precision.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite
-component take no part, nor do those whose length is not the most frequent one
-(ties: the longer); a repeated query id is asked once, with the smallest of its
+component take no part; vectors are compared with those of their own length (a
+search for each length that occurs); a repeated query id is asked once, with the smallest of its
 vectors; every row with another id is a candidate, repeated rows each on its own.
 """
 
@@ -28,15 +28,12 @@ QUERY_BLOCK = 4096  # queries that are broadcast at a time
 ROWS = 512  # codes compared at a time inside a task
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """``(vec_id, vector)`` of the rows that take part, and their length."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``(vec_id, vector)`` of the rows that take part."""
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
-    top = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    size = top["n"] if top else 0
-    return rows.where(F.size("vector") == size), size
+    return vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
 
 
 def rotation(size: int, seed: int) -> np.ndarray:
@@ -92,6 +89,8 @@ def build_index(rows: DataFrame, size: int, middle: np.ndarray, seed: int) -> Da
 
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of each row of ``x`` with the row of ``q`` beside it, in double precision."""
+    # scaled by powers of two, which changes no digit and keeps squares finite and above zero
+    x, q = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (x, q))
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 
@@ -146,10 +145,18 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     own ``k`` best for each query.  ``bound`` is the number of standard errors
     allowed for before a vector is left out.
     """
-    spark = vectors.sparkSession
-    rows, size = usable(vectors, id_col, vector_col)
-    if not size:
-        return empty(spark, "query_id bigint, rank int, vec_id bigint, score double")
+    rows = usable(vectors, id_col, vector_col)
+    sizes = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    found = empty(vectors.sparkSession, "query_id bigint, rank int, vec_id bigint, score double")
+    for size in sizes:
+        own = _search_length(rows.where(F.size("vector") == size), size, is_query, k, seed, bound)
+        found = own if len(sizes) == 1 else found.unionByName(own)
+    return found
+
+
+def _search_length(rows: DataFrame, size: int, is_query, k: int, seed: int, bound: float) -> DataFrame:
+    """``search`` among vectors of one length."""
+    spark = rows.sparkSession
     middle = centre(rows, size)
     index = written(build_index(rows, size, middle, seed), "codes")
     asked = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))

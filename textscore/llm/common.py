@@ -47,16 +47,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 def with_batch_columns(
-    df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list]], columns: dict[str, tuple[str, pa.DataType]]
+    df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list]], columns: dict[str, tuple[str, pa.DataType]], drop: tuple[str, ...] = ()
 ) -> DataFrame:
     """``df`` plus columns computed from ``inputs`` batch by batch.
 
     ``make()`` runs once per task and returns a function from one Python list per
     input column to one sequence per new column.  ``columns`` maps each new name
     to its SQL and Arrow type; a column of ``df`` with a new column's name is
-    replaced.
+    replaced; columns of ``drop`` are not handed back (a text that has been read).
     """
-    kept = [c for c in df.columns if c not in columns]
+    kept = [c for c in df.columns if c not in columns and c not in drop]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept]
     schema = ", ".join(fields + [f"`{n}` {sql}" for n, (sql, _) in columns.items()])
     kinds = [t for _, t in columns.values()]

@@ -12,8 +12,6 @@ treated as not held out.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +24,6 @@ LONGEST = 4
 BLOCK = 1 << 20  # bytes of a text hashed at a time
 MAX_LANGUAGES = 1000
 EVIDENCE = 40.0  # n-grams that count in full for the score
-LETTER = re.compile(r"[^\W\d_]")
 
 
 # A model is a plain dict, so a broadcast of it needs no class of this package:
@@ -51,13 +48,14 @@ def gram_counts(text: str) -> np.ndarray:
     return counts
 
 
-def train(docs: DataFrame, max_train_docs: int = 50_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", alpha: float = 0.5) -> dict:
+def train(docs: DataFrame, max_train_docs: int = 50_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", alpha: float = 0.5, max_languages: int = MAX_LANGUAGES) -> dict:
     """Fit on the labelled rows of ``docs``; of more than about ``max_train_docs``
-    a share chosen by a hash of the id, so the fit stays bounded at any scale."""
+    a share chosen by a hash of the id, so the fit stays bounded at any scale, and of
+    more than ``max_languages`` languages the most frequent."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # the most frequent languages are learned: the matrix is broadcast and must stay bounded
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    known = known.where(F.col(lang_col).isin([r["lang"] for r in sizes]))
     languages = sorted(r["lang"] for r in sizes)
     share = min(1.0, max_train_docs / max(1, sum(r["count"] for r in sizes)))
     if share < 1:
@@ -92,7 +90,7 @@ def score_text(text: str | None, model: dict) -> tuple[str, float]:
     The likelihoods are tempered to those of at most ``EVIDENCE`` n-grams, so the
     score of long texts says how clear the language is, not how long the text is.
     """
-    if not text or not model["languages"] or not LETTER.search(text):
+    if not text or not model["languages"] or not any(map(str.isalpha, text)):
         return "und", 0.0
     counts = gram_counts(text)
     total = model["log_prob"] @ counts.astype(np.float64)
@@ -102,7 +100,7 @@ def score_text(text: str | None, model: dict) -> tuple[str, float]:
     return model["languages"][best], float(min(1.0, p[best] / p.sum()))
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` plus the language and its score; the matrix (languages x buckets) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -115,11 +113,11 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_out: str
 
         return step
 
-    return with_batch_columns(docs, [text_col], make, {lang_out: ("string", pa.string()), score_out: ("double", pa.float64())})
+    return with_batch_columns(docs, [text_col], make, {lang_out: ("string", pa.string()), score_out: ("double", pa.float64())}, drop)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out_fold: int = 2, max_train_docs: int = 50_000) -> DataFrame:
     """Every row's ``(doc_id, held_out, lang_pred, score)``; learns from the other folds only."""
     held = F.coalesce(crc_mod("doc_id", folds) == held_out_fold, F.lit(False))
     model = train(docs.where(~held), max_train_docs)
-    return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs.select("doc_id", held.alias("held_out"), "text"), model, drop=("text",)).select("doc_id", "held_out", "lang_pred", "score")

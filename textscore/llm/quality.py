@@ -102,7 +102,7 @@ def features(docs: DataFrame, labels: DataFrame, label_col: str, metadata: list[
         return lambda texts: [[view.of(t) for t in texts]]
 
     rows = docs.select("doc_id", "text", metadata_view(metadata, size_col).alias("page_view"))
-    rows = with_batch_columns(rows, ["text"], make, {"text_view": ("array<float>", pa.list_(pa.float32()))}).drop("text")
+    rows = with_batch_columns(rows, ["text"], make, {"text_view": ("array<float>", pa.list_(pa.float32()))}, drop=("text",))
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("double").alias("y"))
     rows = rows.join(known, "doc_id", "left")
     return rows.withColumns({"text_view": array_to_vector("text_view"), "page_view": array_to_vector("page_view")})
@@ -161,7 +161,8 @@ def score(
         same = F.lit(float(next(iter(seen), 0.5)))
         return rows.select("doc_id", same.alias("p_text"), same.alias("p_page"), same.alias("score"), (same >= 0.5).alias("keep"))
     fold = rows.where(F.col("y").isNotNull() & held)
-    if fold.select("y").distinct().count() < 2:  # too few labels to hold any back
+    kinds = rows.where("y is not null").agg(F.count_distinct(F.when(held, F.col("y"))), F.count_distinct(F.when(~held, F.col("y")))).first()
+    if min(kinds) < 2:  # too few labels to hold any back
         train, fold = rows, rows.where("y is not null")
     else:
         train = rows.where(~(F.col("y").isNotNull() & held))
