@@ -9,10 +9,11 @@ range order, and what the earlier ranges come to is joined back on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textscore.session import scratch_path
 
@@ -65,44 +66,64 @@ def number_rows(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequen
     return joined.select(*df.columns, (F.col("_rn") + F.coalesce("_off", F.lit(0))).cast("long").alias(out_col))
 
 
+def range_of(df: DataFrame, col: str, width: int | None = None) -> Column:
+    """The range of an order column: ``width`` neighbouring values of an integer column.
+    Other types have no fixed ranges and stay in one (``number_rows`` ranges them)."""
+    width = width or RANGE
+    if isinstance(df.schema[col].dataType, T.IntegralType):
+        return F.expr(f"cast(`{col}` as bigint) div {width}")
+    return F.lit(0).cast("long")
+
+
+def _merge(how: str, first: Column, then: Column) -> Column:
+    return F.greatest(first, then) if how == "max" else F.coalesce(first + then, first, then)
+
+
 def with_carry(
     df: DataFrame,
     keys: Sequence[str],
     range_cols: Sequence[str],
-    summary: Mapping[str, Column],
-    carry: Mapping[str, Callable[[WindowSpec], Column]],
+    carry: Mapping[str, tuple[str, Column]],
+    coarse: Column | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """``df`` plus, for every row, what the earlier ranges of its key come to.
 
-    ``summary`` reduces the rows of one range (aggregates); each function of
-    ``carry`` gets the window over the summaries of all earlier ranges of the same
-    key, in the order of ``range_cols``, and returns a column over them.  A value
-    is null where no earlier range has one.
+    ``carry`` names what is carried: ``("sum" | "max", column)``, null where no earlier
+    range has a value.  ``coarse`` is a column over ``range_cols`` that never decreases
+    along them; with it the summaries of a key are scanned in two levels, so that even
+    their number does not meet in one task.  ``only`` restricts what is summarised, where
+    other rows are known to be followed by no range of their key.
     """
-    keys, ranges = list(keys), list(range_cols)
-    parts = df.groupBy(*keys, *ranges).agg(*(c.alias(n) for n, c in summary.items()))
-    earlier = Window.partitionBy(*keys).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select(*keys, *ranges, *(f(earlier).alias(n) for n, f in carry.items()))
+    keys, ranges, how = list(keys), list(range_cols), {n: kind for n, (kind, _) in carry.items()}
+    fold = {"sum": F.sum, "max": F.max}
+    rows = df if only is None else df.where(only)
+    parts = rows.groupBy(*keys, *ranges).agg(*(fold[kind](c).alias(n) for n, (kind, c) in carry.items()))
+    parts = parts.withColumn("_big", F.lit(0).cast("long") if coarse is None else coarse)
+    earlier = Window.partitionBy(*keys, "_big").orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*keys, *ranges, "_big", *(fold[how[n]](n).over(earlier).alias(n) for n in carry))
+    if coarse is not None:
+        before = Window.partitionBy(*keys).orderBy("_big").rowsBetween(Window.unboundedPreceding, -1)
+        tops = parts.groupBy(*keys, "_big").agg(*(fold[how[n]](n).alias(n) for n in carry))
+        tops = tops.select(*keys, "_big", *(fold[how[n]](n).over(before).alias(f"_t_{n}") for n in carry))
+        renamed, on = same_keys(carried, tops, [*keys, "_big"], "_b")
+        carried = carried.join(renamed, on).withColumns({n: _merge(how[n], F.col(f"_t_{n}"), F.col(n)) for n in carry})
     some = F.coalesce(*(F.when(F.col(n).isNotNull(), True) for n in carry))
-    renamed, on = same_keys(df, carried.where(some), [*keys, *ranges], "_c")
+    renamed, on = same_keys(df, carried.where(some).select(*keys, *ranges, *carry), [*keys, *ranges], "_c")
     return df.join(renamed, on, "left").select(*df.columns, *carry)
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], range_cols: Sequence[str], sums: Mapping[str, Column | str]
+    df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], range_cols: Sequence[str], sums: Mapping[str, Column | str],
+    coarse: Column | None = None, only: Column | None = None,
 ) -> DataFrame:
     """``df`` plus running sums (the row's own value included) within each key.
 
-    ``range_cols`` cut a key into ranges and never decrease along ``order_cols``.
+    ``range_cols`` cut a key into ranges and never decrease along ``order_cols``;
+    ``coarse`` and ``only`` are those of ``with_carry``.
     """
     w = Window.partitionBy(*keys, *range_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     cols = {n: F.col(c) if isinstance(c, str) else c for n, c in sums.items()}
-    x = with_carry(
-        df, keys, range_cols, {f"_s_{n}": F.sum(c) for n, c in cols.items()},
-        {f"_b_{n}": (lambda w, n=n: F.sum(f"_s_{n}").over(w)) for n in cols},
-    )
-    totals = {}
-    for n, c in cols.items():
-        own, before = F.sum(c).over(w), F.col(f"_b_{n}")
-        totals[n] = F.coalesce(own + before, own, before)
+    x = with_carry(df, keys, range_cols, {f"_b_{n}": ("sum", c) for n, c in cols.items()}, coarse, only)
+    totals = {n: _merge("sum", F.col(f"_b_{n}"), F.sum(c).over(w)) for n, c in cols.items()}
     return x.withColumns(totals).select(*df.columns, *cols)
