@@ -21,7 +21,7 @@ def test_bucketed_lag_equals_plain_lag(spark):
     rng = random.Random(5)
     rows = [(i, rng.randint(0, 50), rng.choice("ab")) for i in range(3000)]
     df = spark.createDataFrame(rows, "pos long, v long, g string")
-    got = {r.g: r.violations for r in O.order_violations(df, "pos", "v", ["g"], bucket=O.range_bucket(df, "pos", 37)).collect()}
+    got = {r.g: r.violations for r in O.order_violations(df, "pos", "v", ["g"]).collect()}
     for g in "ab":
         seq = [v for p, v, gg in rows if gg == g]
         assert got[g] == sum(1 for a, b in zip(seq, seq[1:]) if a > b)
@@ -31,7 +31,7 @@ def test_row_number_by_equals_python(spark):
     rng = random.Random(9)
     ids = rng.sample(range(100000), 2000)
     df = spark.createDataFrame([(i, i % 7) for i in ids], "k long, p long")
-    got = {r.k: r.rn for r in O.row_number_by(df, ["k"], ["p"], bucket=O.range_bucket(df, "k", 23)).collect()}
+    got = {r.k: r.rn for r in O.row_number_by(df, ["k"], ["p"], bucket=F.expr("k div 4321")).collect()}
     for p in range(7):
         ks = sorted(k for k in ids if k % 7 == p)
         assert all(got[k] == i + 1 for i, k in enumerate(ks))
@@ -120,18 +120,22 @@ def test_global_steps_and_running_loss(spark):
     assert [r.avg_loss for r in rl] == [11.0, 11.5, 12.0, 12.5]
 
 
-def test_quantile_buckets_balance_clustered_keys(spark):
-    # dense block of ids plus a few far outliers: equal-width buckets would put
-    # nearly every row in bucket 0, quantile buckets stay balanced
-    keys = list(range(5000)) + [10**12, 10**12 + 5, 2 * 10**12]
-    df = spark.createDataFrame([(k,) for k in keys], "k long")
-    b = O.with_quantile_bucket(df, "k", num_buckets=16)
-    sizes = [r["count"] for r in b.groupBy("_bkt").count().collect()]
-    assert max(sizes) < 3 * len(keys) / 16
-    rows = sorted(b.collect(), key=lambda r: r.k)
-    assert all(a._bkt <= c._bkt for a, c in zip(rows, rows[1:]))
-    got = {r.k: r.rn for r in O.row_number_by(df, ["k"]).collect()}
-    assert all(got[k] == i + 1 for i, k in enumerate(sorted(keys)))
+def test_ordered_checks_of_common_prefix_strings_run_no_job_while_planned(spark):
+    rng = random.Random(12)
+    rows = [(f"a-long-common-prefix/{i:06d}", i + rng.choice([0, 0, -9]), "ab"[i % 3 == 0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "pos string, v long, g string").repartition(5)
+    jobs = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    planned = O.order_violations(df, "pos", "v", ["g"])
+    assert jobs() == before
+    got = {r.g: r for r in planned.collect()}
+    for g in "ab":
+        seq = [(p, v) for p, v, gg in rows if gg == g]
+        bad = [p for (_, x), (p, y) in zip(seq, seq[1:]) if x > y]
+        r = got[g]
+        assert (r.rows, r.violations, r.first_violation_pos, r.first_value, r.last_value) == (len(seq), len(bad), bad[0], seq[0][1], seq[-1][1])
+    tasks = spark.createDataFrame(rows, "pos string, v long, g string").repartitionByRange(4, "pos").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 1500
 
 
 def test_half_even_rounding_option(spark):

@@ -25,9 +25,9 @@ def assign_batches(
 ) -> DataFrame:
     """``position`` (1-based, shuffled or by id) and ``batch_id`` = (position-1) div size.
 
-    The last batch may be partial.  The numbering is a bucketed row number
-    (md5 prefix buckets when shuffled, id quantile ranges otherwise), never a global
-    window in one task.
+    The last batch may be partial.  The numbering runs in md5 prefix buckets when
+    shuffled, in the tasks of a range partitioner otherwise (ids of any type), never in
+    a global window in one task.
     """
     if shuffle:
         x = df.withColumn("_order", shuffle_key(id_col, seed))

@@ -1,11 +1,10 @@
 """Global order without a global window (row numbers, neighbour checks).
 
 ``Window.orderBy`` without ``partitionBy`` (or with a low-cardinality partition
-such as 20 runs) sends every row of a partition to one task.  Here the order
-key is cut into range buckets: the window runs per ``(partition, bucket)``, each
-bucket is reduced to one summary row, the few summary rows are ordered, and the
-offsets are joined back on the bucket key, which is exactly the key the window
-already hash-partitioned on, so the big side is not shuffled again.
+such as 20 runs) sends every row of a partition to one task.  Here rows are dealt
+out in order, by a range partitioner (any type; no statistics on the driver while
+planning) or into given buckets; a window runs within what one task got, each task's
+share is reduced to one summary row, and the few summary rows are ordered.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textscore.operators.scan import number_rows
+
 
 def epoch_micros(c: Column, dt: T.DataType) -> Column:
     """Microseconds since 1970-01-01 00:00:00; for TIMESTAMP_NTZ independent of
@@ -26,64 +27,10 @@ def epoch_micros(c: Column, dt: T.DataType) -> Column:
     return F.unix_micros(c)
 
 
-def _numeric_key(df: DataFrame, order_col: str) -> Column:
-    dt = df.schema[order_col].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return epoch_micros(F.col(order_col), dt)
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(order_col))
-    if isinstance(dt, T.IntegralType):
-        return F.col(order_col).cast("long")
-    if isinstance(dt, T.NumericType):
-        return F.col(order_col).cast("double")
-    if isinstance(dt, T.StringType):  # the first seven bytes, which order as the strings do
-        return F.conv(F.rpad(F.substring(F.hex(F.col(order_col).cast("binary")), 1, 14), 14, "0"), 16, 10).cast("double")
-    raise TypeError(f"range buckets need a numeric, string, date or timestamp key; got {dt} for {order_col}")
-
-
 def _default_buckets(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def range_bucket(df: DataFrame, order_col: str, num_buckets: int | None = None) -> Column:
-    """Equal-width bucket of a numeric/temporal key, monotone in the key.
-
-    Bounds come from one aggregate row (min, max).  Each bucket holds at most
-    ``width`` distinct keys, but a clustered key space puts most rows in few
-    buckets; :func:`with_quantile_bucket` is the skew-proof choice.
-    """
-    num_buckets = num_buckets or _default_buckets(df)
-    key = _numeric_key(df, order_col)
-    row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if row is None or row["lo"] is None:
-        return F.lit(0).cast("long")
-    lo, hi = int(row["lo"]), int(row["hi"])
-    width = max(1, math.ceil((hi - lo + 1) / max(1, num_buckets)))
-    return F.floor((key - F.lit(lo)) / F.lit(width)).cast("long")
-
-
-def with_quantile_bucket(df: DataFrame, order_col: str, out_col: str = "_bkt", num_buckets: int | None = None) -> DataFrame:
-    """Add a bucket column from approximate quantiles of the order key.
-
-    Boundaries are ``num_buckets - 1`` approximate quantiles (relative error
-    1/(4 * num_buckets)), so every bucket holds about the same number of rows
-    whatever the key distribution; only ties of one key value share a bucket.
-    The bucket is found by binary search (``Bucketizer``, JVM-side) and is
-    non-decreasing in the key.
-    """
-    from pyspark.ml.feature import Bucketizer
-
-    num_buckets = num_buckets or _default_buckets(df)
-    x = df.withColumn("_qkey", _numeric_key(df, order_col).cast("double"))
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    qs = x.approxQuantile("_qkey", probs, 1.0 / (4 * num_buckets)) if probs else []
-    if not [q for q in qs if q is not None]:  # no rows, or one bucket
-        return x.withColumn(out_col, F.lit(0).cast("long")).drop("_qkey")
-    splits = [float("-inf"), *sorted(set(q for q in qs if q is not None)), float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_qkey", outputCol=out_col, handleInvalid="keep")
-    return b.transform(x).withColumn(out_col, F.col(out_col).cast("long")).drop("_qkey")
-
-
 def md5_bucket(key: Column, hex_digits: int = 3) -> Column:
     """Bucket of an md5 hex order key: its first hex digits (4,096 buckets for 3)."""
     return F.conv(F.substring(key, 1, hex_digits), 16, 10).cast("long")
@@ -102,16 +49,18 @@ def row_number_by(
     bucket: Column | None = None,
     out_col: str = "rn",
 ) -> DataFrame:
-    """``row_number() over (partition by P order by O)`` computed bucket by bucket.
+    """``row_number() over (partition by P order by O)`` without a window over P.
 
-    ``bucket`` must be non-decreasing in the order key within a partition
-    (default: approximate-quantile bucket of the first order column).  The
-    order key should be unique within a partition, as for any deterministic
-    numbering.
+    Without ``bucket`` a range partitioner puts the rows in order (``number_rows``).
+    A ``bucket`` must be non-decreasing in the order key within a partition; the
+    numbering then runs bucket by bucket.  The order key should be unique within a
+    partition, as for any deterministic numbering.
     """
     pcols = list(partition_cols)
     ocols = list(order_cols)
-    x = with_quantile_bucket(df, ocols[0]) if bucket is None else df.withColumn("_bkt", bucket)
+    if bucket is None:
+        return number_rows(df, ocols, pcols, out_col)
+    x = df.withColumn("_bkt", bucket)
     w = Window.partitionBy(*pcols, "_bkt").orderBy(*ocols)
     numbered = x.withColumn("_rb", F.row_number().over(w))
     counts = x.groupBy(*pcols, "_bkt").agg(F.count(F.lit(1)).alias("_nb"))
@@ -131,29 +80,33 @@ def order_violations(
     pos_col: str,
     value_col: str,
     partition_cols: Sequence[str] = (),
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Per partition: how often ``value`` decreases between neighbours in ``pos`` order.
 
     Output: partition columns, ``rows``, ``violations``, ``first_violation_pos``
     (the position of the later row of the first decreasing neighbour pair),
     ``first_value`` and ``last_value`` (by position).
+
+    A range partitioner deals the rows out in order; neighbours are compared within
+    a task, and where two tasks meet by their first and last values.
     """
     pcols = list(partition_cols)
-    base = df.select(*pcols, pos_col, value_col)
-    x = with_quantile_bucket(base, pos_col) if bucket is None else base.withColumn("_bkt", bucket)
-    w = Window.partitionBy(*pcols, "_bkt").orderBy(pos_col)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = [*pcols, pos_col]
+    x = df.select(*order, value_col).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    x = x.withColumn("_place", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_place", 33))
+    w = Window.partitionBy(*pcols, "_task").orderBy("_place")
     inner = x.withColumn("_prev", F.lag(value_col).over(w))
-    inner_v = inner.groupBy(*pcols, "_bkt").agg(
+    inner_v = inner.groupBy(*pcols, "_task").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(F.when(F.col("_prev") > F.col(value_col), 1)).alias("_v"),
         F.min(F.when(F.col("_prev") > F.col(value_col), F.col(pos_col))).alias("_first_v"),
-        F.min_by(value_col, pos_col).alias("_first_val"),
-        F.max_by(value_col, pos_col).alias("_last_val"),
-        F.min(pos_col).alias("_first_pos"),
+        F.min_by(value_col, "_place").alias("_first_val"),
+        F.max_by(value_col, "_place").alias("_last_val"),
+        F.min_by(pos_col, "_place").alias("_first_pos"),
     )
-    # neighbour pairs that straddle two buckets: a window over bucket summaries
-    wb = Window.partitionBy(*pcols).orderBy("_bkt")
+    # neighbour pairs that straddle two tasks: a window over one row for each task
+    wb = Window.partitionBy(*pcols).orderBy("_task")
     edges = inner_v.withColumn("_prev_last", F.lag("_last_val").over(wb))
     edges = edges.withColumn("_edge_v", F.col("_prev_last") > F.col("_first_val"))
     return edges.groupBy(*pcols).agg(
@@ -162,6 +115,6 @@ def order_violations(
         F.least(
             F.min("_first_v"), F.min(F.when(F.col("_edge_v"), F.col("_first_pos")))
         ).alias("first_violation_pos"),
-        F.min_by("_first_val", "_bkt").alias("first_value"),
-        F.max_by("_last_val", "_bkt").alias("last_value"),
+        F.min_by("_first_val", "_task").alias("first_value"),
+        F.max_by("_last_val", "_task").alias("last_value"),
     )

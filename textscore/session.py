@@ -69,7 +69,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder (never a machine-local temp dir)."""
+    """A fresh path under the shared folder (see ``shared_dir``)."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
