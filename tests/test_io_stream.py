@@ -86,7 +86,7 @@ def test_stream_equals_batch(spark):
     s = current_scores(spark, state).first()
     b = corpus_bleu(pairs).first()
     assert s.bleu_score == pytest.approx(b.bleu_score, abs=1e-12) and s.pairs == b.pairs
-    assert spark.read.parquet(state).select("mb").distinct().count() >= 2
+    assert len([f for f in os.listdir(state.removeprefix("file:")) if f.startswith("mb=")]) >= 2
 
 
 def test_strict_jsonl_skips_unicode_blank_lines(spark):

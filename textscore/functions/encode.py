@@ -16,25 +16,33 @@ def effective_block_size(block_size: int, model_max: int, cap: bool = True) -> i
     return min(size, model_max) if cap else size
 
 
-def truncate_pad(ids: Column | str, block_size: int, pad_id: Column | int, eos_id: int | None = None) -> Column:
+def specials_in_block(bos_id: int | None, eos_id: int | None) -> int:
+    """Places of a block that the start and end id take."""
+    return (bos_id is not None) + (eos_id is not None)
+
+
+def truncate_pad(ids: Column | str, block_size: int, pad_id: Column | int, eos_id: int | None = None, bos_id: int | None = None) -> Column:
     """Cut to ``block_size`` and right-pad with ``pad_id`` to exactly that length.
 
-    With ``eos_id`` the body is cut to ``block_size - 1`` and the end id is
-    appended inside the block.
+    With ``bos_id`` and ``eos_id`` the body is cut to what they leave of the block, and
+    the start and end id stand around it, also around an empty body.
     """
     c = _col(ids)
     pad = pad_id if isinstance(pad_id, Column) else F.lit(pad_id)
-    if eos_id is not None:
-        c = F.concat(F.slice(c, 1, block_size - 1), F.array(F.lit(eos_id)))
+    taken = specials_in_block(bos_id, eos_id)
+    if taken:
+        around = [F.array(F.lit(i)) if i is not None else None for i in (bos_id, eos_id)]
+        parts = [around[0], F.slice(c, 1, max(0, block_size - taken)), around[1]]
+        c = F.concat(*(p for p in parts if p is not None))
     body = F.slice(c, 1, block_size)
     missing = F.greatest(F.lit(block_size) - F.size(body), F.lit(0))
     return F.concat(body, F.array_repeat(pad.cast("int"), missing))
 
 
-def attention_mask(ids: Column | str, block_size: int, eos_id: int | None = None) -> Column:
+def attention_mask(ids: Column | str, block_size: int, eos_id: int | None = None, bos_id: int | None = None) -> Column:
     """1 for every real position of the truncated sequence, 0 for padding."""
     c = _col(ids)
-    n = F.least(F.size(c) + (1 if eos_id is not None else 0), F.lit(block_size))
+    n = F.least(F.size(c) + specials_in_block(bos_id, eos_id), F.lit(block_size))
     return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(block_size) - n))
 
 

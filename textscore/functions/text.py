@@ -185,10 +185,12 @@ def explode_ngrams(df, keys: list[str], tokens: str, max_order: int, as_string:
 
 
 def join_tokens(c: ColumnOrName, sep: str = " ", on_null: str = "raise") -> Column:
-    """Join a token array with one space; null elements raise by default."""
+    """Join a token array with one space; a null array (an absent field) and null
+    elements fail the job by default, with ``on_null="skip"`` they stay null or go."""
     col = _col(c)
     joined = F.array_join(col, sep)
     if on_null == "skip":
         return joined
     has_null = F.size(col) != F.size(F.array_compact(col))
-    return F.when(has_null, F.raise_error(F.lit("null token in array"))).otherwise(joined)
+    absent = F.when(col.isNull(), F.raise_error(F.lit("no token array")))
+    return absent.when(has_null, F.raise_error(F.lit("null token in array"))).otherwise(joined)

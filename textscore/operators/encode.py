@@ -1,7 +1,7 @@
 """Vocabulary, encoding and decoding as DataFrame plans.
 
-The vocabulary is the top-k tokens plus a few special tokens, so its size is
-bounded by ``k`` and it is safe to broadcast.  Encoding and decoding explode a
+The vocabulary is the top-k tokens plus a few special tokens; it is broadcast, and
+one of more than ``MAX_VOCABULARY`` tokens fails the job.  Encoding and decoding explode a
 row's tokens, look them up with a broadcast join, and re-assemble them in
 position order.  Rows are hash-partitioned on their id and content *before* the
 explode (one shuffle of raw text), so the re-assembly needs no second exchange
@@ -17,13 +17,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textscore.functions.encode import attention_mask, pad_to, truncate_pad
+from textscore.functions.encode import attention_mask, pad_to, specials_in_block, truncate_pad
 from textscore.functions.text import get_tokenizer
 from textscore.sources.io import to_encoded_layout
 from textscore.operators.partitioning import cluster_rows
 
 # Special tokens and their ids (pad first so ignore_index 0 is pad).
 SPECIAL_TOKENS = [("<pad>", 0), ("</s>", 1), ("<unk>", 2)]
+MAX_VOCABULARY = 1_000_000  # rows that are broadcast at most
 PAD_TOKEN, EOS_TOKEN, UNK_TOKEN = "<pad>", "</s>", "<unk>"
 
 
@@ -74,8 +75,15 @@ def resolve_pad(vocab: DataFrame) -> DataFrame:
     )
 
 
+def bounded_vocabulary(vocab: DataFrame, max_rows: int = MAX_VOCABULARY) -> DataFrame:
+    """``vocab`` for a broadcast: the job fails if it has more than ``max_rows`` rows."""
+    rows = vocab.limit(max_rows + 1).agg(F.collect_list(F.struct(*vocab.columns)).alias("r"))
+    too_long = F.raise_error(F.lit(f"a vocabulary of more than {max_rows} tokens is not broadcast")).cast(rows.schema["r"].dataType)
+    return F.broadcast(rows.select(F.inline(F.when(F.size("r") > max_rows, too_long).otherwise(F.col("r")))))
+
+
 def _vocab_lookup(vocab: DataFrame) -> DataFrame:
-    return F.broadcast(vocab.select("token", F.col("id").alias("_tid")))
+    return bounded_vocabulary(vocab.select("token", F.col("id").alias("_tid")))
 
 
 def _distinct_rows(df: DataFrame, keys: Sequence[str], content: Sequence[str], cluster: bool) -> tuple[DataFrame, list[str]]:
@@ -134,8 +142,7 @@ def decode(
     row per row of ``df``."""
     rows, names = _distinct_rows(df, [id_col], [ids_col], repartition)
     ex = rows.select(*names, F.posexplode_outer(ids_col).alias("_pos", "_tid"))
-    v = vocab.select(F.col("id").alias("_tid"), "token", "special")
-    looked = ex.join(F.broadcast(v), "_tid", "left")
+    looked = ex.join(bounded_vocabulary(vocab.select(F.col("id").alias("_tid"), "token", "special")), "_tid", "left")
     keep = F.col("token").isNotNull()
     if skip_special:
         keep = keep & ~F.coalesce(F.col("special"), F.lit(False))
@@ -144,6 +151,23 @@ def decode(
     return _all_copies(texts)
 
 
+def decode_columns(df: DataFrame, id_col: str, columns: dict[str, str], vocab: DataFrame, keep_cols: Sequence[str] = (), sep: str = " ") -> DataFrame:
+    """E6 for several id columns at once (``columns`` maps each to its text's name):
+    they are stacked, looked up by one join and re-assembled.  Special ids are
+    dropped; ``id_col`` and ``keep_cols`` pass through, one row per row of ``df``."""
+    rows, names = _distinct_rows(df, [id_col, *keep_cols], list(columns), True)
+    sides = F.array(*(F.struct(F.lit(k).alias("_side"), F.col(c).cast("array<int>").alias("_ids")) for k, c in enumerate(columns)))
+    ids = rows.select(*names, F.inline(sides)).select(*names, "_side", F.posexplode_outer("_ids").alias("_pos", "_tid"))
+    looked = ids.join(bounded_vocabulary(vocab.select(F.col("id").alias("_tid"), "token", "special")), "_tid", "left")
+    piece = F.when(F.col("token").isNotNull() & ~F.coalesce(F.col("special"), F.lit(False)), F.struct("_side", "_pos", "token"))
+    texts = looked.groupBy(*names).agg(F.sort_array(F.collect_list(piece)).alias("_all"))
+
+    def text(k: int) -> Column:
+        return F.array_join(F.transform(F.filter("_all", lambda x: x["_side"] == k), lambda x: x["token"]), sep)
+
+    return _all_copies(texts.select(*names, *(text(k).alias(name) for k, name in enumerate(columns.values()))))
+
+
 def encode_pairs(
     df: DataFrame,
     id_col: str,
@@ -156,19 +180,23 @@ def encode_pairs(
     tokenizer: str | Callable[[Column], Column] = "words_and_symbols",
     lower: bool = False,
     keep_cols: Sequence[str] = (),
+    bos_id: int | None = None,
+    eos_id: int | None = None,
 ) -> DataFrame:
     """E5 (+P2): the encoded pair layout ``input_ids, code_attention_mask,
     target_ids, docs_attention_mask``; the two text columns are dropped and
     ``keep_cols`` pass through.
 
     Both texts are encoded in one pass: they are stacked as two segments per
-    row, cut to ``block_size`` tokens, exploded, looked up once and re-assembled
-    per row and side.  One row per row of ``df``.
+    row, cut to what the start and end id (if given) leave of ``block_size``,
+    exploded, looked up once and re-assembled per row and side.  One row per row of
+    ``df``.
     """
     tok = get_tokenizer(tokenizer)
+    body = max(0, block_size - specials_in_block(bos_id, eos_id))
 
     def t(c):
-        return F.slice(tok(F.lower(F.col(c)) if lower else F.col(c)), 1, block_size)
+        return F.slice(tok(F.lower(F.col(c)) if lower else F.col(c)), 1, body)
 
     rows, names = _distinct_rows(df, [id_col, *keep_cols], [code_col, doc_col], True)
     segs = rows.select(
@@ -190,10 +218,10 @@ def encode_pairs(
     padded = both.select(
         id_col,
         *keep_cols,
-        truncate_pad("code_ids", block_size, pad_id).alias("_code_padded"),
-        attention_mask("code_ids", block_size).alias("code_attention_mask"),
-        truncate_pad("docs_ids", block_size, pad_id).alias("_docs_padded"),
-        attention_mask("docs_ids", block_size).alias("docs_attention_mask"),
+        truncate_pad("code_ids", block_size, pad_id, eos_id, bos_id).alias("_code_padded"),
+        attention_mask("code_ids", block_size, eos_id, bos_id).alias("code_attention_mask"),
+        truncate_pad("docs_ids", block_size, pad_id, eos_id, bos_id).alias("_docs_padded"),
+        attention_mask("docs_ids", block_size, eos_id, bos_id).alias("docs_attention_mask"),
     )
     # Drop the unpadded sequences, rename to the encoded layout
     return to_encoded_layout(

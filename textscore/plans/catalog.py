@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from textscore.operators import bleu as B
 from textscore.operators import checks as C
 from textscore.operators import encode as E
 from textscore.operators import evaluation as EV
+from textscore.operators import flow as FL
 from textscore.operators import metrics as M
 from textscore.operators import runs as R
 from textscore.operators.infer import argmax_predictor, predict_batches
@@ -659,6 +661,61 @@ def q_u2(spark, d):
     )
 
 
+# ==================================================== test flow (S1 ... S4)
+FLOW_SPECIALS = [("<pad>", 0), ("</s>", 1), ("<unk>", 2), ("<s>", 3)]
+FLOW_IDS = VOCAB_K + len(FLOW_SPECIALS)
+
+
+def id_map_predictor(vocab_size: int):
+    """Stands in for a model: each real position's id mapped to another, padding kept."""
+
+    def factory():
+        def predict(pdf: pd.DataFrame) -> pd.Series:
+            pairs = zip(pdf["input_ids"], pdf["code_attention_mask"], strict=True)
+            return pd.Series([((ids * 7 + 5) % vocab_size * mask).astype("int32") for ids, mask in pairs], index=pdf.index)
+
+        return predict
+
+    return factory
+
+
+def _flow_text_sql(name: str, ids: str, source: str) -> str:
+    return f"""{name}_p AS (SELECT doc_id, unnest({ids}) AS tid, generate_subscripts({ids}, 1) AS pos FROM {source}),
+{name} AS (SELECT s.doc_id, coalesce(string_agg(v.token, ' ' ORDER BY p.pos) FILTER (WHERE NOT v.special), '') AS text
+        FROM {source} s LEFT JOIN {name}_p p USING (doc_id) LEFT JOIN vocab v ON v.id = p.tid GROUP BY s.doc_id)"""
+
+
+_FLOW_INPUT = f"list_concat([3], ids[1:{E5_BLOCK - 2}], [1])"
+
+
+@register(
+    "flow_test_predictions",
+    f"""WITH {_vocab_sql(specials=FLOW_SPECIALS)}, {_HALF_SQL}, {_enc_side_sql('code', 'ce')}, {_enc_side_sql('doc', 'de')},
+{_flow_text_sql('act', f'ids[1:{E5_BLOCK - 2}]', 'de')},
+{_flow_text_sql('gen', f'list_transform({_FLOW_INPUT}, lambda x: (x * 7 + 5) % {FLOW_IDS})', 'ce')}
+SELECT a.doc_id AS id, md5(a.text) AS actual_digest, md5(g.text) AS generated_digest, CAST(length(g.text) AS BIGINT) AS generated_chars
+FROM act a JOIN gen g USING (doc_id)""",
+)
+def q_flow(spark, d):
+    """The test run as one plan: JSON Lines records (S1) of token arrays are joined
+    (P1), shuffled into batches (E9), encoded with start and end id (E5), predicted
+    (U2), decoded (E6) and written as the prediction CSV (S4), which is read back."""
+    halves = _halves(spark, d)
+    records = halves.select(F.col("doc_id").alias("id"), words_and_symbols("code").alias("code_tokens"), words_and_symbols("doc").alias("docstring_tokens"))
+    source, target = scratch_path(spark, "flow-records"), scratch_path(spark, "flow-csv")
+    IO.write_jsonl(records, source)
+    read = IO.read_jsonl(spark, source, "id long, code_tokens array<string>, docstring_tokens array<string>")
+    texts = FL.predict_test_set(
+        read, _vocab(spark, d, specials=FLOW_SPECIALS), id_map_predictor(FLOW_IDS), E5_BLOCK, batch_size=4, lower=True, bos_id=3, eos_id=1
+    )
+    IO.write_predictions_csv(texts, target)
+    back = IO.read_predictions_csv(spark, target)
+    return back.select(
+        "id", F.md5("actual_comments").alias("actual_digest"), F.md5("generated_comments").alias("generated_digest"),
+        F.length("generated_comments").cast("long").alias("generated_chars"),
+    )
+
+
 # ============================================================ checks
 @register(
     "w1_sorted_events",
@@ -976,7 +1033,8 @@ def _bleu_cols(max_order: int = 4) -> list:
 )
 def q_st1(spark, d):
     """ST1: documents arrive as 8 files; BLEU and exact match are kept current per
-    micro-batch from mergeable partial states; the final state equals batch scoring."""
+    micro-batch from mergeable partial states, folded every second one; the final
+    state equals batch scoring."""
     from textscore.streaming.evaluation import current_scores, start_stream
 
     near = I.near(spark, d).withColumn("chunk", F.col("id") % 8)
@@ -984,7 +1042,7 @@ def q_st1(spark, d):
     near.select("id", "pred", "ref").repartitionByRange(8, "id").write.parquet(src)
     state = scratch_path(spark, "stream-state")
     ckpt = scratch_path(spark, "stream-ckpt")
-    q = start_stream(spark, src, state, ckpt, max_files_per_trigger=2)
+    q = start_stream(spark, src, state, ckpt, max_files_per_trigger=2, compact_every=2)
     q.awaitTermination()
     scores = current_scores(spark, state)
     return _fmt_with_em(scores)

@@ -78,10 +78,15 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split", fmt: str =
 
 
 # ---------------------------------------------------------------------- S4
-def write_predictions_csv(df: DataFrame, path: str, id_col: str = "id", mode: str = "overwrite") -> None:
+def write_predictions_csv(df: DataFrame, path: str, id_col: str = "id", mode: str = "overwrite", rows_per_file: int = 200_000) -> None:
     """(id, actual_comments, generated_comments) with a header; edge
-    whitespace and embedded newlines survive."""
-    df.select(id_col, "actual_comments", "generated_comments").write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    whitespace and embedded newlines survive.
+
+    A quoted newline keeps a reader from splitting a file, so each file is one task
+    when read: a file gets ``rows_per_file`` rows at most, however many a task writes.
+    """
+    out = df.select(id_col, "actual_comments", "generated_comments")
+    out.write.mode(mode).options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def read_predictions_csv(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
@@ -96,9 +101,25 @@ def read_predictions_csv(spark: SparkSession, path: str, id_col: str = "id") ->
 
 
 # ---------------------------------------------------------------------- S5
+def data_version(df: DataFrame) -> list | None:
+    """Names, sizes and times of the files that ``df`` reads, as one number each of
+    them and of all (null where it reads no files).
+
+    The files are listed and hashed by tasks; their contents are not read.
+    """
+    folders = sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    if not folders:
+        return None
+    listed = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    one = listed.select("length", F.xxhash64("path", F.unix_micros("modificationTime"), "length").alias("h"))
+    return list(one.agg(F.count("h"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.bit_xor("h"), F.lit(0))).first())
+
+
 def fingerprint(params: Mapping[str, object], df: DataFrame | None = None) -> str:
-    """Key of a materialized result: its parameters plus the input schema."""
-    blob = json.dumps({"params": params, "schema": df.schema.json() if df is not None else None}, sort_keys=True, default=str)
+    """Key of a materialized result: its parameters, the input's schema and the
+    version of the files it reads."""
+    source = None if df is None else [df.schema.json(), data_version(df)]
+    blob = json.dumps({"params": params, "source": source}, sort_keys=True, default=str)
     return hashlib.sha256(blob.encode()).hexdigest()[:16]
 
 
@@ -118,8 +139,8 @@ def materialize(
     partition_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Load ``base_path/<fingerprint>`` when it is complete, else build, write
-    and load it.  The fingerprint covers the parameters and the input schema,
-    so a parameter change never returns a stale result.  Reading back the
+    and load it.  The fingerprint covers the parameters, the input schema and the
+    input's files, so neither changed parameters nor changed data return a stale result.  Reading back the
     written table also cuts the lineage."""
     path = f"{base_path.rstrip('/')}/{fingerprint(params, source)}"
     if not _exists(spark, path):
@@ -131,11 +152,15 @@ def materialize(
 
 
 # ---------------------------------------------------------------------- S6
-METRIC_LOG_SCHEMA = "run string, epoch int, step long, metric string, value double"
+METRIC_LOG_SCHEMA = "step long, metric string, value double, log string, run string, epoch int"
+
 
+def log_metrics(df: DataFrame, path: str, run_col: str = "run", epoch_col: str = "epoch", step_col: str = "step", log: str = "metrics") -> None:
+    """Per-epoch metrics in long form ``(run, epoch, step, metric, value)``.
 
-def log_metrics(df: DataFrame, path: str, run_col: str = "run", epoch_col: str = "epoch", step_col: str = "step") -> None:
-    """Append per-epoch metrics in long form ``(run, epoch, step, metric, value)``."""
+    Idempotent: the metrics of a (log, run, epoch) are a folder, which a rerun replaces;
+    other epochs, runs and logs (``log`` names the writer, as "train") stay.
+    """
     metrics = [c for c in df.columns if c not in (run_col, epoch_col, step_col)]
     long = df.select(
         F.col(run_col).cast("string").alias("run"),
@@ -143,7 +168,8 @@ def log_metrics(df: DataFrame, path: str, run_col: str = "run", epoch_col: str =
         F.col(step_col).cast("long").alias("step"),
         *[F.col(c).cast("double").alias(c) for c in metrics],
     ).unpivot(["run", "epoch", "step"], metrics, "metric", "value")
-    long.write.mode("append").partitionBy("run").parquet(path)
+    kept = long.withColumn("log", F.lit(log)).repartition("run", "epoch")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log", "run", "epoch").parquet(path)
 
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
