@@ -42,3 +42,19 @@ def test_run_on_edge_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.piece) for r in got] == [(3, 0)]
+
+
+def test_extra_columns_pass_through_unchanged(spark, tmp_path):
+    docs = read(spark, SF, "documents").where("doc_id < 120")
+    names = ["_told", "_score", "_fp", "_held_items", "_k", "_new", "fp", "key", "score", "kept", "n_entities", "surrogate", "Text2"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    long = spark.createDataFrame([(10**6, "plain words that go on and on number " * 30_000, "en", "s", 0)], docs.schema[:5])
+    docs = docs.unionByName(long.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    assert 10**6 in {r.doc_id for r in rows}

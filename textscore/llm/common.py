@@ -22,6 +22,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(id_col: Column | str, m: int) -> Column:
     """crc32 of the id written as text, modulo ``m`` (null for a null id)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -27,7 +27,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textscore.llm.common import written
+from textscore.llm.common import free_name, written
 from textscore.operators.ordering import md5_bucket, md5_digits_for, row_number_by
 
 MAX_ROUNDS = 40
@@ -303,10 +303,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     kinds = written(kinds.withColumn("form", normal_form(F.col("kind"), F.col("mention"))), "mentions")
     surrogates = assign_surrogates(kinds.select("kind", "form").distinct(), key)
     told = kinds.join(surrogates, ["kind", "form"]).select("mention", render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
-    places = mentions.join(told, "mention").groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("_new"))
-    joined = docs.withColumn("_k", place(text)).join(places, "_k", "left")
-    pieces = F.zip_with(F.split(text, ENTITY, -1), F.col("_new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    columns = {text_col: F.when(F.col("_new").isNull(), text).otherwise(F.array_join(pieces, ""))}
+    k, new = free_name(docs, "_k"), free_name(docs, "_new")
+    places = mentions.join(told, "mention").groupBy(F.col("_k").alias(k)).agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias(new))
+    joined = docs.withColumn(k, place(text)).join(places, k, "left")
+    pieces = F.zip_with(F.split(text, ENTITY, -1), F.col(f"{new}.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    columns = {text_col: F.when(F.col(new).isNull(), text).otherwise(F.array_join(pieces, ""))}
     if count_col:
-        columns[count_col] = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))
-    return joined.withColumns(columns).drop("_k", "_new")
+        columns[count_col] = F.when(F.col(new).isNull(), 0).otherwise(F.size(new))
+    return joined.withColumns(columns).select(*docs.columns, *([count_col] if count_col and count_col not in docs.columns else []))
