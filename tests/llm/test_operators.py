@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textscore.llm import ann, decontamination, langid, packing, pii, quality, simhash, token_counts, toxicity, url_filter
+from textscore.llm.common import written
 from textscore.llm.queries import URL_RULES, read, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -239,31 +240,56 @@ def test_url_rules_and_verdicts(spark):
     assert url_filter.judge(df.limit(0), URL_RULES).collect() == []
 
 
-def test_url_scores_equal_a_slow_model(spark):
-    train = [(0, "http://aa.com/x"), (0, "http://ab.com/y"), (1, "http://zz.net/q"), (0, "http://aa.com/x")]
-    counts = url_filter.count_grams(spark.createDataFrame(train, "side int, url string"))
+def test_url_scores_equal_a_slow_model(spark, monkeypatch):
+    """100,000 URLs: no probability passes 1, and scores are those of a plain dictionary."""
+    monkeypatch.setattr(url_filter, "BLOCK_BYTES", 1 << 18)  # several blocks a task
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789/?=&é"))
+    tails = ["".join(t) for t in letters[rng.integers(0, len(letters), (100_000, 14))]]
+    rows = [(i, i % 3 if i % 3 < 2 else None, f"http://{'ab'[i % 2]}{t}") for i, t in enumerate(tails)]
+    rows += [(-1, 0, "http://aa.com/x"), (-2, 0, "http://aa.com/x"), (-3, 1, ""), (-4, None, None), (-5, 1, "z" * 300_000)]
     k = url_filter.ORDER
     seen = [{}, {}]
-    for side, url in train:
-        s = "\x02" * (k + 1) + url + "\x03"
+    for _, side, url in rows:
+        if side is None:
+            continue
+        s, c = b"\x02" * (k + 1) + (url or "").encode() + b"\x03", seen[side]
         for i in range(k, len(s)):
             for n in range(k + 1):
                 g = s[i - n : i + 1]
-                seen[side][g] = seen[side].get(g, 0) + 1
+                c[g] = c.get(g, 0) + 1
+    totals = [float(sum(v for g, v in c.items() if len(g) == 1)) for c in seen]
 
-    def log_p(c, url):
-        s, total = "\x02" * (k + 1) + url + "\x03", 0.0
-        size = sum(v for g, v in c.items() if len(g) == 1)
+    def log_p(side, url):
+        c, s, total = seen[side], b"\x02" * (k + 1) + (url or "").encode() + b"\x03", 0.0
         for i in range(k + 1, len(s)):
-            p = (c.get(s[i], 0) + 1) / (size + 257)
+            p = (c.get(s[i : i + 1], 0) + 1) / (totals[side] + 257)
             for n in range(1, k + 1):
                 p = (c.get(s[i - n : i + 1], 0) + url_filter.SMOOTHING * p) / (c.get(s[i - n : i], 0) + url_filter.SMOOTHING)
             total += np.log(p)
-        return total / (len(url) + 1)
-
-    urls = ["http://aa.com/z", "http://zz.net/x", ""]
-    want = [log_p(seen[0], u) - log_p(seen[1], u) for u in urls]
-    assert np.allclose(url_filter.score_urls(urls, counts), want, atol=1e-9)
+        return total / (len(s) - k - 1)
+
+    df = spark.createDataFrame(rows, "page_id long, side int, url string")
+    blocks = written(url_filter.with_blocks(df), "test-url-blocks")
+    assert blocks.select("block").distinct().count() > spark.sparkContext.defaultParallelism
+    grams = written(url_filter.block_grams(blocks), "test-url-grams")
+    counts = url_filter.count_grams(grams)
+    got = {r.page_id: r for r in url_filter.score_blocks(blocks, grams, counts, totals).select("page_id", "odds", "largest").collect()}
+    assert len(got) == len(rows) and max(r.largest for r in got.values()) <= 1.0
+    for i, _, url in rows[:300] + rows[-5:]:
+        assert abs(got[i].odds - (log_p(0, url) - log_p(1, url))) < 1e-9
+    assert got[-1].odds == got[-2].odds and got[-3].odds == got[-4].odds
+
+
+def test_url_long_repeated_and_one_sided(spark):
+    long = "http://good1.com/" + "x" * 2_000_000
+    rows = [(None, "http://a.com/b"), (1, long), (1, long), (2, None), (2, "http://odd.org/")] + [(3, "http://hot.com/")] * 5000
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(7) for c in ("block", "side", "gram", "odds", "host", "rule")})
+    got = url_filter.judge(df, URL_RULES).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got} == {"allow"}
+    assert sum(r.path == "/" + "x" * 2_000_000 for r in got) == 2 and len({r.score for r in got if r.page_id == 3}) == 1
+    blocked = url_filter.judge(df.where("page_id = 2").union(spark.createDataFrame([(9, "http://n.net/fr/")] , "page_id long, url string").select("*", *[F.lit(7)] * 6)), URL_RULES)
+    assert {r.verdict for r in blocked.collect()} == {"block"}
 
 
 # ---------------------------------------------------------- decontamination
