@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textscore.llm import ann, decontamination, langid, packing, pii, quality, simhash, token_counts, toxicity, url_filter
-from textscore.llm.common import written
+from textscore.llm.common import hash_unit, written
 from textscore.llm.queries import URL_RULES, read, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -561,6 +561,91 @@ def test_toxicity_edges(spark):
 
 
 # ------------------------------------------------------------------ quality
+def logistic_by_hand(x, y, weight, penalty):
+    """Newton's method on the penalised logistic loss, in the span of the rows."""
+    k, share, n = x @ x.T, weight / weight.sum(), len(y)
+    a, b = np.zeros(n), 0.0
+
+    def loss(a, b):
+        f = k @ a + b
+        return (share * (np.logaddexp(0, f) - y * f)).sum() + penalty / 2 * a @ k @ a
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(k @ a + b)))
+        d = share * p * (1 - p)
+        r = share * (p - y)
+        system = np.block([[d[:, None] * k + penalty * np.eye(n), d[:, None]], [(d @ k)[None], np.array([[d.sum()]])]])
+        move = np.linalg.solve(system, -np.append(r + penalty * a, r.sum()))
+        size = 1.0
+        while loss(a + size * move[:-1], b + size * move[-1]) > loss(a, b) and size > 1e-9:
+            size /= 2
+        a, b = a + size * move[:-1], b + size * move[-1]
+    return x.T @ a, b
+
+
+def test_quality_equals_co_training_by_hand(spark, monkeypatch):
+    for name, value in (("ITERATIONS", 60), ("TOLERANCE", 1e-7), ("PENALTY", 3e-2), ("SURE", 0.9)):
+        monkeypatch.setattr(quality, name, value)
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    got = {r.doc_id: r for r in quality.score(docs, labels).collect()}
+    rows = quality.features(docs, labels, "quality", ["lang", "source"], "n_chars").withColumn("u", hash_unit("doc_id", F.lit("calibration"))).collect()
+    views = [np.array([r[v].toArray() for r in rows]) for v in ("text_view", "page_view")]
+    y = np.array([np.nan if r.y is None else r.y for r in rows])
+    held = np.array([r.u < quality.CALIBRATION_SHARE for r in rows]) & ~np.isnan(y)
+    train, free = ~np.isnan(y) & ~held, np.isnan(y)
+    assert set(y[train]) == set(y[held]) == {0.0, 1.0} and free.any()
+
+    def fit(v, more_y, more):
+        at = np.concatenate((np.flatnonzero(train), more))
+        weight = np.where(train[at], 1.0, quality.PSEUDO_WEIGHT)
+        return logistic_by_hand(views[v][at], np.concatenate((y[train], more_y)), weight, quality.PENALTY)
+
+    models = [fit(v, [], np.zeros(0, int)) for v in (0, 1)]
+    passed = 0
+    for _ in range(2):
+        told = []
+        for v in (0, 1):
+            p = 1 / (1 + np.exp(-(views[v] @ models[v][0] + models[v][1])))
+            sure = np.flatnonzero(free & ((p >= quality.SURE) | (p <= 1 - quality.SURE)))
+            told.append(((p[sure] >= 0.5).astype(float), sure))
+            passed += len(sure)
+        models = [fit(0, *told[1]), fit(1, *told[0])]
+    assert passed
+    share = y[held].mean()
+    both = -np.log(share / (1 - share))
+    for v, name in ((0, "p_text"), (1, "p_page")):
+        x = views[v] @ models[v][0] + models[v][1]
+        scale = x[held].std(ddof=1)
+        w, b = logistic_by_hand(x[held][:, None] / scale, y[held], np.ones(held.sum()), 1e-3)
+        z = w[0] * x / scale + b
+        both = both + z
+        assert np.allclose([got[r.doc_id][name] for r in rows], 1 / (1 + np.exp(-z)), atol=5e-3)
+    assert np.allclose([got[r.doc_id].score for r in rows], 1 / (1 + np.exp(-both)), atol=2e-2)
+
+
+def test_quality_on_labels_not_fitted_on(spark):
+    d = "/root/testdata/sf0.01"
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    got = {r.doc_id: r for r in quality.score(docs, labels.where(~out)).collect()}
+    held = labels.where(out).collect()
+    assert len(held) > 50 and sum(got[r.doc_id].keep == (r.quality == 1) for r in held) >= 0.93 * len(held)
+
+
+def test_quality_metadata_values_have_places_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(quality, "OWN_VALUES", 40)
+    rows = [(i, "words here", "en", f"site{i % 40}" if i < 400 else f"rare{i}", 10) for i in range(450)]
+    rows += [(450, "words", None, None, None), (451, "words", "", "", 1 << 50), (452, "words", "en", "site0", 1 << 38)]
+    df = spark.createDataFrame(rows, DOCS)
+    known = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.page_view for r in quality.features(df, known, "quality", ["lang", "source"], "n_chars").collect()}
+    width = quality.OWN_VALUES + quality.VALUE_PLACES
+    assert len({got[i].indices[1] for i in range(40)}) == 40 and all(got[i].indices[1] < width + 40 for i in range(400))
+    assert all(got[i].indices[1] >= width + 40 for i in range(400, 450))
+    assert got[450].indices[0] != got[451].indices[0] and len(got[450].indices) == 2
+    assert got[451].indices[2] == got[452].indices[2] == 2 * width + quality.SIZE_CLASSES - 1
+
+
 def test_quality_by_co_training(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality.score(read(spark, d, "documents"), read(spark, d, "labels")).collect()}
@@ -575,3 +660,17 @@ def test_quality_edges(spark):
     assert {r.score for r in quality.score(df, one_kind).collect()} == {1.0}
     assert {r.score for r in quality.score(df, one_kind.limit(0)).collect()} == {0.5}
     assert quality.score(df.limit(0), one_kind).collect() == []
+
+
+def test_quality_rare_class_and_repeated_ids(spark):
+    texts = [f"calm words about gardens and rivers number {i}" for i in range(60)] + ["$$$ ### @@@ %%%"]
+    df = docs_of(spark, texts, extra=True)
+    df = df.union(df.where("doc_id < 5"))
+    held = [r.doc_id for r in df.where(hash_unit("doc_id", F.lit("calibration")) < quality.CALIBRATION_SHARE).collect()]
+    seen = next(i for i in range(60) if i not in held)
+    # the one bad document is held back, or is not
+    for bad in (held[0], seen):
+        known = spark.createDataFrame([(i, int(i != bad)) for i in range(40)] + [(1, 1), (1, 1)], "doc_id long, quality int")
+        got = quality.score(df, known).collect()
+        assert len(got) == 66 and all(0 <= r.score <= 1 for r in got)
+        assert all(len({r.score for r in got if r.doc_id == i}) == 1 for i in range(5))
