@@ -584,7 +584,7 @@ def logistic_by_hand(x, y, weight, penalty):
 
 
 def test_quality_equals_co_training_by_hand(spark, monkeypatch):
-    for name, value in (("ITERATIONS", 60), ("TOLERANCE", 1e-7), ("PENALTY", 3e-2), ("SURE", 0.9)):
+    for name, value in (("ITERATIONS", 500), ("TOLERANCE", 1e-10), ("PENALTY", 1e-2), ("SURE", 0.9)):
         monkeypatch.setattr(quality, name, value)
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     got = {r.doc_id: r for r in quality.score(docs, labels).collect()}
