@@ -163,3 +163,12 @@ def test_result_carries_tokenizer_signature(spark):
     df = spark.createDataFrame([(0, "a b", "a b")], "id long, pred string, ref string")
     assert _one(B.corpus_bleu(df)).tokenizer == "13a"
     assert _one(B.corpus_bleu(df, tokenizer="none")).tokenizer == "none"
+
+
+def test_text_group_columns_come_from_one_read(spark):
+    rows = [(i, "a b c", "a b d", f"l{i % 2}", None if i % 3 else "x") for i in range(12)] + [(0, "a b c", "a b c", "l1", "x")]
+    df = spark.createDataFrame(rows, "id long, pred string, ref string, n string, lang string")
+    comp = B.bleu_components(df, group_cols=["n", "lang"])
+    assert comp._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {(r["n"], r["lang"]): (r["pairs"], r["matches"][0], r["translation_length"]) for r in comp.collect()}
+    assert got == {("l0", "x"): (2, 4, 6), ("l1", "x"): (3, 7, 9), ("l0", None): (4, 8, 12), ("l1", None): (4, 8, 12)}

@@ -31,14 +31,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import types as T
 
 from textscore.functions.text import gram_key_is_string, get_tokenizer, with_ngram_levels
 from textscore.operators.partitioning import cluster_rows
 
 Tokenizer = str | Callable[[Column], Column]
 
-FIXED_WIDTH = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 COMPONENT_COLS = ["pairs", "translation_length", "reference_length", "matches", "possible"]
 RESULT_COLS = [
     "bleu_score",
@@ -153,16 +151,14 @@ def bleu_components(
 
 def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order, as_string) -> DataFrame:
     # pairs that share an id are told apart by their content; copies of a pair merge,
-    # which scales each of their counts alike and so leaves the clipping right
-    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(pred_col), F.col(ref_col), *keys).alias("h"))
+    # which scales each of their counts alike and so leaves the clipping right.  The
+    # group columns belong to the key, so every later row has them without a join.
+    held = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(pred_col), F.col(ref_col)).alias("h"), *held)
     # one exchange of raw pair rows on _id; every grouping below contains _id
-    rows = cluster_rows(pairs.select(own.alias("_id"), *keys, pred_col, ref_col), "_id")
-    # group columns of a fixed width go through the hash aggregations; others would
-    # turn them into sorts of all n-grams and are joined afterwards
-    held = {k: f"_k{i}" for i, k in enumerate(keys)} if all(isinstance(pairs.schema[k].dataType, FIXED_WIDTH) for k in keys) else {}
+    rows = cluster_rows(pairs.select(own.alias("_id"), pred_col, ref_col), "_id")
     segs = rows.select(
         "_id",
-        *(F.col(k).alias(c) for k, c in held.items()),
         F.inline(
             F.array(
                 F.struct(F.lit(-1).alias("_side"), tok(F.col(pred_col)).alias("_tok")),
@@ -170,41 +166,27 @@ def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order,
             )
         ),
     )
-    grams = _explode_grams(segs, ["_id", "_side", *held.values()], "_tok", max_order, as_string)
-    # keyed on (_id, n, gram) only: group columns depend on _id
+    grams = _explode_grams(segs, ["_id", "_side"], "_tok", max_order, as_string)
     merged = grams.groupBy("_id", "n", "gram").agg(
         F.sum(F.when(F.col("_side") < 0, F.col("w")).otherwise(0)).alias("pc"),
         F.sum(F.when(F.col("_side") >= 0, F.col("w")).otherwise(0)).alias("rc"),
         F.count(F.when((F.col("n") == 0) & (F.col("_side") < 0), 1)).alias("copies"),
-        *(F.max(c).alias(c) for c in held.values()),
     )
     clipped = merged.select(
-        "_id",
+        *(F.col(f"_id.k{i}").alias(f"_k{i}") for i in range(len(keys))),
         "n",
         "copies",
-        *held.values(),
         F.col("pc"),
         F.least("pc", "rc").alias("clip"),
         F.when(F.col("n") == 0, F.col("pc")).alias("tl"),
         F.when(F.col("n") == 0, F.col("rc")).alias("rl"),
     )
-    if keys:
-        # one row per distinct pair, then its group columns (a second read of the
-        # pairs, whose texts the distinct ids need only as hashes)
-        per_id = clipped.groupBy("_id").agg(
-            F.sum("copies").alias("copies"),
-            F.max("tl").alias("tl"), F.max("rl").alias("rl"), *_order_sums("clip", max_order), *_order_sums("pc", max_order),
-            *(F.max(c).alias(k) for k, c in held.items()),
-        )
-        clipped = (per_id if held else per_id.join(rows.select("_id", *keys).distinct(), "_id")).withColumn("n", F.lit(0))
-        sums = [F.sum(f"_{v}{k}").alias(f"_{v}{k}") for v in ("clip", "pc") for k in range(1, max_order + 1)]
-    else:
-        sums = [*_order_sums("clip", max_order), *_order_sums("pc", max_order)]
-    agg = clipped.groupBy(*keys).agg(
+    agg = clipped.groupBy(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys))).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("pairs"),
         F.coalesce(F.sum("tl"), F.lit(0)).cast("long").alias("translation_length"),
         F.coalesce(F.sum("rl"), F.lit(0)).cast("long").alias("reference_length"),
-        *sums,
+        *_order_sums("clip", max_order),
+        *_order_sums("pc", max_order),
     )
     return _as_arrays(agg, keys, max_order, ["pairs", "translation_length", "reference_length"])
 
