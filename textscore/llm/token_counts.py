@@ -166,7 +166,7 @@ class PrefixCounter:
         for a, b, n, one in groups:
             out[at:a] = [base] * (a - at)
             piece = text[a:b]
-            if one and (piece[0] != "'" or len(piece) == 1):
+            if one and not (piece[0] == "'" and 1 < len(piece) <= 3 and piece[1:].isalpha()):
                 inside = self._steps(piece)
             else:  # also 're and its like, which are cut differently when cut short
                 inside = [self._count(piece[: k + 1]) for k in range(len(piece))]
