@@ -167,6 +167,17 @@ def test_token_counts_and_fitting_prefix(spark, counter):
         assert len(counter.tokenizer.encode(t[: got[i].fit_chars], add_special_tokens=False)) <= 40
 
 
+@pytest.mark.parametrize("text", ["'" * 40, "''s'''re'", "it''ll '.'!' ''t", "'ve'v 'll'l 'x''", "ab'" * 9])
+def test_prefix_counts_of_apostrophes(counter, text):
+    want = [len(counter.tokenizer.encode(text[:p], add_special_tokens=False)) for p in range(len(text) + 1)]
+    assert counter.prefix_counts(text).tolist() == want
+
+
+def test_apostrophe_runs_are_not_encoded_prefix_by_prefix(counter, monkeypatch):
+    monkeypatch.setattr(counter, "_count", lambda text: pytest.fail("a prefix was encoded"))
+    assert len(counter.prefix_counts("'" * 5000)) == 5001
+
+
 def test_stored_prefixes_answer_without_encoding(spark):
     df = docs_of(spark, ["alpha beta gamma unbelievable", None])
     stored = token_counts.with_prefix_counts(df, tokenizer_path("word_bpe_49k.json"))
@@ -510,6 +521,16 @@ def test_neighbours_equal_brute_force(spark):
     assert hits >= 0.97 * 40 and set(got) == set(range(0, 400, 50))
 
 
+def test_neighbours_in_blocks_equal_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.search(df, "vec_id % 5 = 0").collect()))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    found = ann.search(df, "vec_id % 5 = 0")
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) == 300
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 def test_neighbours_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, "vec_id = 0", k=5).orderBy("rank").collect()]

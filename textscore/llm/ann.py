@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textscore.llm.common import empty, map_batches, written
+from textscore.session import scratch_path
 
 QUERY_BLOCK = 4096  # queries that are broadcast at a time
 ROWS = 512  # codes compared at a time inside a task
+FOUND = "query_id bigint, vec_id bigint, score double"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -134,15 +136,16 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, size:
         i, j = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(near[i, j]), pa.array(best[i, j])], names=["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return index.mapInArrow(run, FOUND)
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, bound: float = 4.0) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows of each query by cosine.
 
     ``is_query`` is a condition on ``vec_id``.  The queries are broadcast in blocks
-    of about ``QUERY_BLOCK`` rows, each held against all codes; a task returns its
-    own ``k`` best for each query.  ``bound`` is the number of standard errors
+    of about ``QUERY_BLOCK`` rows, each held against all codes and its answers
+    written before the next, so neither the plan nor what is broadcast grows with
+    the queries; a task returns its own ``k`` best for each query.  ``bound`` is the number of standard errors
     allowed for before a vector is left out.
     """
     rows = usable(vectors, id_col, vector_col)
@@ -160,17 +163,15 @@ def _search_length(rows: DataFrame, size: int, is_query, k: int, seed: int, boun
     middle = centre(rows, size)
     index = written(build_index(rows, size, middle, seed), "codes")
     asked = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = written(asked, "queries")
     blocks = math.ceil(asked.count() / QUERY_BLOCK)
-    found = []
+    path = scratch_path(spark, "neighbours")
+    empty(spark, FOUND).write.parquet(path)
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
         if block:
             ids, raw = np.array([r["vec_id"] for r in block], np.int64), np.array([r["vector"] for r in block], np.float64)
-            found.append(_search_block(index, ids, raw, size, middle, seed, k, bound))
-    if not found:
-        return empty(spark, "query_id bigint, rank int, vec_id bigint, score double")
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
+            _search_block(index, ids, raw, size, middle, seed, k, bound).write.mode("append").parquet(path)
+    every = spark.read.schema(FOUND).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
