@@ -108,6 +108,17 @@ def test_a_rerun_leaves_the_metric_log_as_it_was(spark):
     assert before == after and len(before) == 7
 
 
+def test_the_metric_log_holds_no_folder_for_each_epoch(spark):
+    log = scratch_path(spark, "t-log-many")
+    ep = spark.range(400).selectExpr("cast(id % 4 as string) AS run", "cast(id div 4 as int) AS epoch", "id AS step", "id / 8 AS bleu")
+    IO.log_metrics(ep, log)
+    IO.log_metrics(ep.where("epoch = 7").withColumn("bleu", F.lit(-1.0)), log)
+    folders = sum(len(dirs) for _, dirs, _ in os.walk(log.removeprefix("file:")))
+    back = IO.read_metric_log(spark, log)
+    assert folders < 10 and back.count() == 400
+    assert back.where("value < 0").count() == back.where("epoch = 7").count() == 4
+
+
 def test_a_large_prediction_table_is_many_files(spark):
     p = scratch_path(spark, "t-csv-files")
     df = spark.range(100).selectExpr("id", "concat('line\n', id) AS actual_comments", "'x' AS generated_comments").coalesce(1)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,14 +153,25 @@ def materialize(
 
 
 # ---------------------------------------------------------------------- S6
-METRIC_LOG_SCHEMA = "step long, metric string, value double, log string, run string, epoch int"
+METRIC_LOG_SCHEMA = "step long, metric string, value double, log string, run string, epoch int, write string"
+
+
+def _next_write(spark: SparkSession, path: str) -> str:
+    """Folder name of a new write: a number above those found, and a unique end."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [e.getPath().getName() for e in fs.listStatus(root)] if fs.exists(root) else []
+    last = max((int(n.removeprefix("write=").split("-")[0]) for n in names if n.startswith("write=")), default=-1)
+    return f"write={last + 1:012d}-{uuid.uuid4().hex}"
 
 
 def log_metrics(df: DataFrame, path: str, run_col: str = "run", epoch_col: str = "epoch", step_col: str = "step", log: str = "metrics") -> None:
     """Per-epoch metrics in long form ``(run, epoch, step, metric, value)``.
 
-    Idempotent: the metrics of a (log, run, epoch) are a folder, which a rerun replaces;
-    other epochs, runs and logs (``log`` names the writer, as "train") stay.
+    Idempotent: of a (log, run, epoch) the last write that names it counts, so a rerun
+    replaces its metrics; other epochs, runs and logs (``log`` names the writer, as
+    "train") stay.  A call appends one folder, so its files follow the tasks that
+    write, not the number of runs and epochs.
     """
     metrics = [c for c in df.columns if c not in (run_col, epoch_col, step_col)]
     long = df.select(
@@ -168,12 +180,14 @@ def log_metrics(df: DataFrame, path: str, run_col: str = "run", epoch_col: str =
         F.col(step_col).cast("long").alias("step"),
         *[F.col(c).cast("double").alias(c) for c in metrics],
     ).unpivot(["run", "epoch", "step"], metrics, "metric", "value")
-    kept = long.withColumn("log", F.lit(log)).repartition("run", "epoch")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log", "run", "epoch").parquet(path)
+    long.withColumn("log", F.lit(log)).write.parquet(f"{path.rstrip('/')}/{_next_write(df.sparkSession, path)}")
 
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRIC_LOG_SCHEMA).parquet(path).select("run", "epoch", "step", "metric", "value")
+    """The metrics of every (log, run, epoch) as its last write has them."""
+    rows = spark.read.schema(METRIC_LOG_SCHEMA).parquet(path)
+    newest = F.rank().over(Window.partitionBy("log", "run", "epoch").orderBy(F.desc("write")))
+    return rows.withColumn("_newest", newest).where(F.col("_newest") == 1).select("run", "epoch", "step", "metric", "value")
 
 
 # ------------------------------------------------------------------ P1-P4
