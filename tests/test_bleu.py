@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,46 @@ def test_text_group_columns_come_from_one_read(spark):
     assert comp._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     got = {(r["n"], r["lang"]): (r["pairs"], r["matches"][0], r["translation_length"]) for r in comp.collect()}
     assert got == {("l0", "x"): (2, 4, 6), ("l1", "x"): (3, 7, 9), ("l0", None): (4, 8, 12), ("l1", None): (4, 8, 12)}
+
+
+def test_row_pairs_are_clipped_without_moving_their_grams(spark, monkeypatch):
+    from textscore.operators import clip
+
+    rng = random.Random(9)
+    words = "a b c , é".split()
+    rows = [(i % 5 or None, i % 3, " ".join(rng.choices(words, k=rng.randint(0, 15))) or None, " ".join(rng.choices(words, k=9))) for i in range(60)]
+    rows += rows[:7]
+    df = spark.createDataFrame(rows, "id long, g int, pred string, ref string")
+    monkeypatch.setattr(clip, "BLOCK", 40)
+    for tokenizer in ("13a", lambda c: F.split(F.coalesce(c, F.lit("")), " ")):
+        parts = B.bleu_components(df, group_cols=["g"], tokenizer=tokenizer)
+        assert "Generate" not in parts._jdf.queryExecution().toString()
+        got = {r.g: r for r in parts.collect()}
+        for g in range(3):
+            tok = pyref.tok_13a if tokenizer == "13a" else lambda x: x.split(" ")
+            ps, rs = ([tok(r[k] or "") for r in rows if r[1] == g] for k in (2, 3))
+            grams = lambda t, k: Counter(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+            want = [sum((grams(p, k) & grams(r, k)).total() for p, r in zip(ps, rs, strict=True)) for k in range(1, 5)]
+            assert got[g].matches == want and got[g].pairs == len(ps)
+            assert (got[g].translation_length, got[g].reference_length) == (sum(map(len, ps)), sum(map(len, rs)))
+            assert got[g].possible == [sum(max(0, len(p) - k + 1) for p in ps) for k in range(1, 5)]
+
+
+def test_clipped_matches_by_order_merge_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(i if i < 30 else rng.choice([1, 2, None]), " ".join(rng.choices("abc", k=rng.randint(0, 8))), " ".join(rng.choices("abc", k=6))) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, pred string, ref string")
+    grams = lambda t, k: Counter(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+    want = {}
+    for k in range(1, 5):
+        ps, rs = {}, {}
+        for i, p, r in rows:
+            ps[i], rs[i] = ps.get(i, Counter()) + grams(p.split(), k), rs.get(i, Counter()) + grams(r.split(), k)
+        want[k] = (sum((ps[i] & rs[i]).total() for i in ps), sum(c.total() for c in ps.values()), sum(len(ps[i] & rs[i]) for i in ps))
+    got = B.clipped_by_order(df, tokenizer="whitespace")
+    assert {r.n: (r.matches, r.possible, r.shared_grams) for r in got.collect()} == want
+    # ids of one row move no grams: with only such ids every order still comes out
+    one = B.clipped_by_order(df.where("id > 2 and id < 30"), tokenizer="whitespace").collect()
+    assert len(one) == 4
+    assert B.clipped_by_order(df.where("id > 99"), tokenizer="whitespace").count() == 0
+    assert [r.n for r in B.clipped_by_order(df.selectExpr("id", "'' AS pred", "'x y' AS ref").where("id = 5"), tokenizer="whitespace").orderBy("n").collect()] == [1, 2]

@@ -3,9 +3,8 @@
 Layouts accepted:
 
 * **row pairs**: one row holds ``id``, the prediction and one reference string.
-  The rows are hash-partitioned on ``id`` (one shuffle of raw text, each pair is
-  one row so no key can be hot), and every later grouping contains ``id``, so
-  n-gram counting and clipping run without another exchange.  Only the tiny
+  The rows are spread by a hash of their content (one shuffle of raw text), and
+  n-grams are counted and clipped within the row (see ``clip``).  Only the tiny
   per-group sums shuffle afterwards.
 * **long references**: predictions ``(id, pred)`` and references ``(id, ref)``
   with any number of reference rows per id, or a row whose ``ref`` column is an
@@ -14,7 +13,7 @@ Layouts accepted:
   ``(id, side, n, gram)`` and merged on ``(id, n, gram)``, both with map-side
   partial aggregation, so a hot id is spread over its grams.
 
-Every pair contributes one marker row (``n = 0``) carrying its token length, so
+In the long form every segment contributes one marker row (``n = 0``) carrying its token length, so
 lengths, brevity and empty segments come out of the same pass as the grams
 (the text is tokenized once).
 
@@ -32,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textscore.functions.text import gram_key_is_string, get_tokenizer, with_ngram_levels
+from textscore.functions.text import explode_ngrams, gram_key_is_string, get_tokenizer, with_ngram_levels
+from textscore.operators.clip import pair_counts
 from textscore.operators.partitioning import cluster_rows
 
 Tokenizer = str | Callable[[Column], Column]
@@ -97,7 +97,7 @@ def bleu_components(
     as_string = gram_key_is_string(tokenizer)
 
     if refs is None and isinstance(preds.schema[ref_col].dataType, T.StringType):
-        return _row_pair_components(preds, id_col, pred_col, ref_col, keys, tok, max_order, as_string)
+        return _row_pair_components(preds, id_col, pred_col, ref_col, keys, tok, max_order)
 
     if refs is None:  # array of references in the row: long form without a join
         pairs = preds
@@ -149,46 +149,67 @@ def bleu_components(
     return _as_arrays(agg, keys, max_order, ["pairs", "translation_length", "reference_length"])
 
 
-def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order, as_string) -> DataFrame:
-    # pairs that share an id are told apart by their content; copies of a pair merge,
-    # which scales each of their counts alike and so leaves the clipping right.  The
-    # group columns belong to the key, so every later row has them without a join.
-    held = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(pred_col), F.col(ref_col)).alias("h"), *held)
-    # one exchange of raw pair rows on _id; every grouping below contains _id
-    rows = cluster_rows(pairs.select(own.alias("_id"), pred_col, ref_col), "_id")
-    segs = rows.select(
+def _row_pair_components(pairs, id_col, pred_col, ref_col, keys, tok, max_order) -> DataFrame:
+    # each pair is one row and clipped on its own, whatever ids others have; the one
+    # exchange of raw pair rows spreads the work, after it only a row's sums move
+    held = {f"_k{i}": F.col(k) for i, k in enumerate(keys)}
+    own = F.xxhash64(F.col(id_col), F.col(pred_col), F.col(ref_col)).alias("_own")
+    rows = cluster_rows(pairs.select(own, *(c.alias(k) for k, c in held.items()), pred_col, ref_col), "_own")
+    toks = rows.select(*held, tok(F.col(pred_col)).alias("_p"), tok(F.col(ref_col)).alias("_r"))
+    agg = pair_counts(toks, list(held), "_p", "_r", max_order).groupBy(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys))).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.coalesce(F.sum("_tl"), F.lit(0)).cast("long").alias("translation_length"),
+        F.coalesce(F.sum("_rl"), F.lit(0)).cast("long").alias("reference_length"),
+        *[F.sum(f"_{c}{k}").alias(f"_{c}{k}") for c in ("clip", "pc") for k in range(1, max_order + 1)],
+    )
+    return _as_arrays(agg, keys, max_order, ["pairs", "translation_length", "reference_length"])
+
+
+def clipped_by_order(
+    pairs: DataFrame, id_col: str = "id", pred_col: str = "pred", ref_col: str = "ref", tokenizer: Tokenizer = "13a", max_order: int = 4
+) -> DataFrame:
+    """J2 + A3 + A4 per order ``n``: ``matches`` (clipped), ``possible`` and
+    ``shared_grams`` (distinct n-grams of a pair that both sides have).
+
+    Rows that share an id are one pair, a null id among them.  An id of one row is
+    counted within the row; the rows of the others are counted gram by gram, so that an
+    id with any number of rows is spread over its grams.
+    """
+    tok, as_string = get_tokenizer(tokenizer), gram_key_is_string(tokenizer)
+    rows = pairs.select(F.col(id_col).alias("_id"), pred_col, ref_col)
+    repeated = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col("_id").alias("_rep"))
+    same = rows["_id"].eqNullSafe(repeated["_rep"])
+
+    single = rows.join(repeated, same, "left_anti").withColumn("_own", F.xxhash64("_id", pred_col, ref_col))
+    single = cluster_rows(single, "_own").select(tok(F.col(pred_col)).alias("_p"), tok(F.col(ref_col)).alias("_r"))
+    orders = range(1, max_order + 1)
+    of_ref = [F.greatest(F.col("_rl") - (k - 1), F.lit(0)) for k in orders]
+    sums = pair_counts(single, [], "_p", "_r", max_order).agg(
+        *[F.sum(f"_{c}{k}").alias(f"_{c}{k}") for c in ("clip", "pc", "shared") for k in orders],
+        *[F.sum(c).alias(f"_rc{k}") for k, c in zip(orders, of_ref, strict=True)],
+    )
+    per_order = [
+        F.struct(F.lit(k).alias("n"), F.col(f"_clip{k}").alias("m"), F.col(f"_pc{k}").alias("p"), F.col(f"_shared{k}").alias("s"), F.col(f"_rc{k}").alias("r"))
+        for k in orders
+    ]
+    within = sums.select(F.inline(F.array(*per_order))).where("p + r > 0").select("n", "m", "p", "s")
+
+    segs = rows.join(repeated, same, "left_semi").select(
         "_id",
         F.inline(
             F.array(
-                F.struct(F.lit(-1).alias("_side"), tok(F.col(pred_col)).alias("_tok")),
-                F.struct(F.lit(0).alias("_side"), tok(F.col(ref_col)).alias("_tok")),
+                F.struct(F.lit(0).alias("_side"), tok(F.col(pred_col)).alias("_tok")),
+                F.struct(F.lit(1).alias("_side"), tok(F.col(ref_col)).alias("_tok")),
             )
         ),
     )
-    grams = _explode_grams(segs, ["_id", "_side"], "_tok", max_order, as_string)
-    merged = grams.groupBy("_id", "n", "gram").agg(
-        F.sum(F.when(F.col("_side") < 0, F.col("w")).otherwise(0)).alias("pc"),
-        F.sum(F.when(F.col("_side") >= 0, F.col("w")).otherwise(0)).alias("rc"),
-        F.count(F.when((F.col("n") == 0) & (F.col("_side") < 0), 1)).alias("copies"),
-    )
-    clipped = merged.select(
-        *(F.col(f"_id.k{i}").alias(f"_k{i}") for i in range(len(keys))),
-        "n",
-        "copies",
-        F.col("pc"),
-        F.least("pc", "rc").alias("clip"),
-        F.when(F.col("n") == 0, F.col("pc")).alias("tl"),
-        F.when(F.col("n") == 0, F.col("rc")).alias("rl"),
-    )
-    agg = clipped.groupBy(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys))).agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("pairs"),
-        F.coalesce(F.sum("tl"), F.lit(0)).cast("long").alias("translation_length"),
-        F.coalesce(F.sum("rl"), F.lit(0)).cast("long").alias("reference_length"),
-        *_order_sums("clip", max_order),
-        *_order_sums("pc", max_order),
+    grams = explode_ngrams(segs, ["_id", "_side"], "_tok", max_order, as_string)
+    cnt = grams.groupBy("_id", "n", "gram").agg(F.count(F.when(F.col("_side") == 0, 1)).alias("pc"), F.count(F.when(F.col("_side") == 1, 1)).alias("rc"))
+    both = F.least("pc", "rc")
+    across = cnt.groupBy("n").agg(F.sum(both).alias("m"), F.sum("pc").alias("p"), F.count(F.when(both > 0, 1)).alias("s"))
+    return within.unionByName(across).groupBy("n").agg(
+        F.sum("m").cast("long").alias("matches"), F.sum("p").cast("long").alias("possible"), F.sum("s").cast("long").alias("shared_grams")
     )
-    return _as_arrays(agg, keys, max_order, ["pairs", "translation_length", "reference_length"])
 
 
 def merge_components(components: DataFrame, group_cols: Sequence[str] = (), max_order: int = 4) -> DataFrame:
