@@ -36,7 +36,6 @@ from textscore.operators.infer import argmax_predictor, predict_batches
 from textscore.operators.ordering import epoch_micros
 from textscore.plans import inputs as I
 from textscore.plans import sql as S
-from textscore.operators.partitioning import cluster_rows
 from textscore.operators.rows import merge_single_rows
 from textscore.sources import io as IO
 from textscore.session import scratch_path
@@ -277,21 +276,7 @@ FROM cnt GROUP BY n"""
 def q_j2(spark, d):
     """J2 + A3 + A4: multiset intersection per (pair, gram), clipped matches and
     possible matches summed per order."""
-    near = cluster_rows(I.near(spark, d), "id")
-    segs = near.select(
-        "id",
-        F.inline(F.array(F.struct(F.lit(-1).alias("side"), tokenize_13a("pred").alias("t")), F.struct(F.lit(0).alias("side"), tokenize_13a("ref").alias("t")))),
-    )
-    grams = explode_ngrams(segs, ["id", "side"], "t", 4).withColumnRenamed("gram", "g")
-    cnt = grams.groupBy("id", "n", "g").agg(
-        F.count(F.when(F.col("side") < 0, 1)).alias("pc"), F.count(F.when(F.col("side") >= 0, 1)).alias("rc")
-    )
-    clip = F.least("pc", "rc")
-    return cnt.groupBy("n").agg(
-        F.sum(clip).cast("long").alias("matches"),
-        F.sum("pc").cast("long").alias("possible"),
-        F.count(F.when(clip > 0, 1)).cast("long").alias("shared_grams"),
-    ).select(F.col("n").cast("long").alias("n"), "matches", "possible", "shared_grams")
+    return B.clipped_by_order(I.near(spark, d)).select(F.col("n").cast("long").alias("n"), "matches", "possible", "shared_grams")
 
 
 _T5_SQL = f"""WITH seg AS (SELECT item_id AS id, {S.tok_13a('text')} AS t FROM benchmark),
