@@ -216,3 +216,22 @@ def test_clipped_matches_by_order_merge_repeated_ids(spark):
     assert len(one) == 4
     assert B.clipped_by_order(df.where("id > 99"), tokenizer="whitespace").count() == 0
     assert [r.n for r in B.clipped_by_order(df.selectExpr("id", "'' AS pred", "'x y' AS ref").where("id = 5"), tokenizer="whitespace").orderBy("n").collect()] == [1, 2]
+
+
+def test_reference_union_holds_a_bounded_share_of_the_text(spark):
+    from textscore.operators.partitioning import partitions_by_text
+
+    rows = [(i % 3 if i % 4 else None, i // 6, "a b a " * (i % 3) + "c") for i in range(24)]
+    refs = spark.createDataFrame(rows, "id long, _ref_no long, ref string")
+    assert partitions_by_text(refs, "ref", per_partition=10) == -(-sum(len(r[2]) for r in rows) // 10) > partitions_by_text(refs, "ref")
+    counts, want = {}, {}
+    for i, no, text in rows:  # rows of one id and number are one reference
+        t = text.split()
+        for k in range(1, 5):
+            for g in zip(*(t[j:] for j in range(k))):
+                counts[i, no, k, " ".join(g)] = counts.get((i, no, k, " ".join(g)), 0) + 1
+    for (i, _, k, g), c in counts.items():
+        want[i, k, g] = max(c, want.get((i, k, g), 0))
+    got = B.reference_union(refs, tokenizer="whitespace", num_partitions=11)
+    assert {(r.id, r.n, r.gram): r.c for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() == 11

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from textscore.functions.text import explode_ngrams, gram_key_is_string, get_tokenizer, with_ngram_levels
 from textscore.operators.clip import pair_counts
-from textscore.operators.partitioning import cluster_rows
+from textscore.operators.partitioning import cluster_rows, partition_count
 
 Tokenizer = str | Callable[[Column], Column]
 
@@ -212,6 +212,25 @@ def clipped_by_order(
     )
 
 
+def reference_union(
+    refs: DataFrame, id_col: str = "id", no_col: str = "_ref_no", ref_col: str = "ref", tokenizer: Tokenizer = "13a", max_order: int = 4, num_partitions: int | None = None
+) -> DataFrame:
+    """A2: ``(id, n, gram, c)``, per gram the largest count in any one reference.
+
+    Rows that share id and number are one reference.  References are hash-partitioned
+    as text and their grams counted there; the counts are dealt out by gram, so an id
+    with very many references is spread.  With ``num_partitions`` by the size of the
+    text neither step holds more when there are more references.
+    """
+    tok = get_tokenizer(tokenizer)
+    n = partition_count(refs, num_partitions)
+    rows = cluster_rows(refs.select(F.col(id_col).alias("id"), F.col(no_col).alias("_side"), ref_col), "id", "_side", num_partitions=n)
+    segs = rows.select("id", "_side", tok(F.col(ref_col)).alias("_tok"))
+    grams = explode_ngrams(segs, ["id", "_side"], "_tok", max_order, gram_key_is_string(tokenizer))
+    per_ref = grams.groupBy("id", "_side", "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+    return cluster_rows(per_ref.drop("_side"), "id", "n", "gram", num_partitions=n).groupBy("id", "n", "gram").agg(F.max("c").alias("c"))
+
+
 def merge_components(components: DataFrame, group_cols: Sequence[str] = (), max_order: int = 4) -> DataFrame:
     """Merge partial states (sum of every counter)."""
     keys = list(group_cols)

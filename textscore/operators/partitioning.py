@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def partition_count(df: DataFrame, num_partitions: int | None = None) -> int:
@@ -22,3 +25,10 @@ def cluster_rows(df: DataFrame, *cols: str, num_partitions: int | None = None) -
     Later groupings whose keys include ``cols`` reuse this partitioning.
     """
     return df.repartition(partition_count(df, num_partitions), *cols)
+
+
+def partitions_by_text(df: DataFrame, text_col: str, per_partition: int = 1_000_000) -> int:
+    """Partitions of about ``per_partition`` characters each, so that what a task holds
+    does not grow with the table; at least ``partition_count``.  Reads the column once."""
+    chars = df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    return max(partition_count(df), math.ceil(chars / per_partition))

@@ -36,6 +36,7 @@ from textscore.operators.infer import argmax_predictor, predict_batches
 from textscore.operators.ordering import epoch_micros
 from textscore.plans import inputs as I
 from textscore.plans import sql as S
+from textscore.operators.partitioning import partitions_by_text
 from textscore.operators.rows import merge_single_rows
 from textscore.sources import io as IO
 from textscore.session import scratch_path
@@ -307,10 +308,8 @@ def q_a2(spark, d):
     """A2: multiset union over references (per gram the largest count in any one
     reference), summarized per conversation and order."""
     _, refs = I.multi(spark, d)
-    segs = refs.select("id", F.col("_ref_no").alias("side"), tokenize_13a("ref").alias("t"))
-    grams = explode_ngrams(segs, ["id", "side"], "t", 4).withColumnRenamed("gram", "g")
-    per_ref = grams.groupBy("id", "side", "n", "g").agg(F.count(F.lit(1)).alias("c"))
-    merged = per_ref.groupBy("id", "n", "g").agg(F.max("c").alias("c"))
+    texts = I.table(spark, d, "conversations").where(F.col("role") == "assistant")
+    merged = B.reference_union(refs, num_partitions=partitions_by_text(texts, "text"))
     return merged.groupBy("id", "n").agg(
         F.count(F.lit(1)).alias("distinct_grams"), F.sum("c").cast("long").alias("merged_count")
     ).select("id", F.col("n").cast("long").alias("n"), "distinct_grams", "merged_count")
