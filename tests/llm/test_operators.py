@@ -695,3 +695,14 @@ def test_quality_rare_class_and_repeated_ids(spark):
         got = quality.score(df, known).collect()
         assert len(got) == 66 and all(0 <= r.score <= 1 for r in got)
         assert all(len({r.score for r in got if r.doc_id == i}) == 1 for i in range(5))
+
+
+def test_only_pairs_that_can_be_among_the_nearest_are_compared_in_full(monkeypatch):
+    monkeypatch.setattr(ann, "PAIRS", 50)
+    rng = np.random.default_rng(2)
+    x, q = ann._units(rng.standard_normal((200, 8))), ann._units(rng.standard_normal((30, 8)))
+    every = np.nonzero(np.ones((200, 30), bool))
+    kept = set(zip(*ann._close(x, q, *every, np.full(30, -np.inf), 5), strict=True))
+    best = {(r, c) for c in range(30) for r in np.argsort(-(x @ q[c]))[:5]}
+    assert kept == best
+    assert len(ann._close(x, q, *every, np.full(30, 2.0), 5)[0]) == 0

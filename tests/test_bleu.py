@@ -184,6 +184,7 @@ def test_row_pairs_are_clipped_without_moving_their_grams(spark, monkeypatch):
     rows += rows[:7]
     df = spark.createDataFrame(rows, "id long, g int, pred string, ref string")
     monkeypatch.setattr(clip, "BLOCK", 40)
+    assert list(clip._blocks(clip.np.array([30, 10, 1, 90, 0, 5]))) == [(0, 2), (2, 3), (3, 4), (4, 6)]
     for tokenizer in ("13a", lambda c: F.split(F.coalesce(c, F.lit("")), " ")):
         parts = B.bleu_components(df, group_cols=["g"], tokenizer=tokenizer)
         assert "Generate" not in parts._jdf.queryExecution().toString()

@@ -27,6 +27,7 @@ from textscore.session import scratch_path
 
 QUERY_BLOCK = 4096  # queries that are broadcast at a time
 ROWS = 512  # codes compared at a time inside a task
+PAIRS = 16384  # pairs of vectors compared in full at a time
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -96,6 +97,19 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 
+def _close(x: np.ndarray, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that can be among the ``k`` best of their query, by the product
+    of the scaled vectors, which is the cosine but for its last digits."""
+    product = np.full((len(x), len(q)), -np.inf)
+    for i in range(0, len(rows), PAIRS):
+        r, c = rows[i : i + PAIRS], cols[i : i + PAIRS]
+        product[r, c] = np.einsum("ij,ij->i", x[r], q[c])
+    if len(x) >= k:
+        floor = np.maximum(floor, np.partition(product, len(x) - k, axis=0)[len(x) - k])
+    kept = product[rows, cols] >= floor[cols] - 1e-9
+    return rows[kept], cols[kept]
+
+
 def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, size: int, middle: np.ndarray, seed: int, k: int, bound: float) -> DataFrame:
     units = _units(queries)
     shared = index.sparkSession.sparkContext.broadcast((ids, queries, units @ rotation(size, seed), units @ middle))
@@ -104,6 +118,7 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, size:
         q_ids, q_raw, q_turned, q_middle = shared.value
         n = len(q_ids)
         best, near = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+        q_units = _units(q_raw)
         totals, scale = q_turned.sum(axis=1), 1 / math.sqrt(size)
         for batch in batches:
             vec_ids, raw = np.array(batch.column(0).to_pylist(), np.int64), _matrix(batch.column(1))
@@ -123,7 +138,8 @@ def _search_block(index: DataFrame, ids: np.ndarray, queries: np.ndarray, size:
                 rows, cols = np.nonzero((upper >= floor) & (vec_ids[s, None] != q_ids))
                 if not len(rows):
                     continue
-                exact = cosines(raw[s][rows], q_raw[cols])
+                rows, cols = _close(_units(raw[s]), q_units, rows, cols, best[:, -1], k)
+                exact = np.concatenate([cosines(raw[s][rows[i : i + PAIRS]], q_raw[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.empty(0)])
                 # merge with what was found before: best first, ties to the smaller id
                 c = np.concatenate((cols, np.repeat(np.arange(n), k)))
                 v = np.concatenate((vec_ids[s][rows], near.ravel()))
