@@ -1,3 +1,7 @@
+import itertools
+import random
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -84,3 +88,30 @@ def test_join_tokens_null_raises(spark):
     assert df.select(T.join_tokens("t", on_null="skip")).first()[0] == "a"
     with pytest.raises(Exception):
         df.select(T.join_tokens("t")).collect()
+
+
+# the four substitutions as mteval-v13a publishes them
+PUBLISHED = [(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")]
+
+
+def test_regexp_stage_writes_the_published_strings(spark):
+    rng = random.Random(3)
+    marks = list("a19.,.,- ~!'") + ["é", "😀", "٣", "\n"]
+    rows = [("".join(rng.choices(marks, k=rng.randint(0, 14))),) for _ in range(20_000)]
+    rows += [("".join(p),) for k in range(6) for p in itertools.product("a1.,", repeat=k)]
+    rows += [(f"x{chr(c)}y",) for c in range(1, 0x3100)]
+    df = spark.createDataFrame(rows, "t string")
+    for text in (F.col("t"), F.concat(F.lit(" "), "t", F.lit(" "))):
+        second, whole = F.regexp_replace(text, *PUBLISHED[1]), text
+        for pattern, repl in PUBLISHED:
+            whole = F.regexp_replace(whole, pattern, repl)
+        assert df.where(F.regexp_replace(text, *T.REGEXP_STAGE[1]) != second).count() == 0
+        spaces = lambda c: F.regexp_replace(c, " +", " ")
+        assert df.where(spaces(T.regexp_stage(text)) != spaces(whole)).count() == 0
+
+
+def test_regexp_stage_starts_at_few_characters():
+    # a pattern whose first class takes letters is tried in full at nearly every character
+    for pattern, _ in T.REGEXP_STAGE:
+        first = re.match(r"\(\[(?:\\.|[^\]])+\]\)", pattern).group()
+        assert not re.search(first, "plain wörds"), pattern
