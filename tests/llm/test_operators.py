@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, and its edge rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -99,6 +100,28 @@ def test_simhash_repeated_and_null_ids(spark):
     assert sorted(r.text for r in kept) == ["a b c d", "quite other words stand here", "third text of no id"]
 
 
+def broadcast_parts(df):
+    """What stands below each broadcast of the plan, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.match(r"[\s:+-]*", x).end() for x in lines]
+    ends = [next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines)) for i in range(len(lines))]
+    return ["\n".join(lines[i:end]) for i, end in enumerate(ends) if "BroadcastExchange" in lines[i]]
+
+
+def test_simhash_broadcasts_no_exploded_keys(spark):
+    fps = written(spark.range(3_000).select(F.xxhash64("id").alias("fp")), "fps")
+    links = simhash.near_links(fps)
+    assert "Generate" in links._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in broadcast_parts(links) if "Generate" in p]
+
+
+def test_simhash_broadcasts_no_rows(spark):
+    df = docs_of(spark, [f"text {i % 3} of a few words" for i in range(2_000)])
+    got = simhash.near_duplicates(df)
+    assert not [p for p in broadcast_parts(got) if re.search(r"FileScan parquet \[doc_id#", p)]
+    assert got.count() == 2_000 and got.where("component_id is null").isEmpty()
+
+
 # -------------------------------------------------------------- language ID
 def test_language_id_held_out(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")

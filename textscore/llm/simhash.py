@@ -102,7 +102,8 @@ def near_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     exact = F.col("key") < F.lit(6 << 56)
     near = (F.bit_count(a.bitwiseXOR(b)) <= max_bits) & (~exact | (a < b))
-    pairs = side(0, "a").join(side(1, "b"), "key").where(near)
+    # merged by key: a side's size is guessed from the fingerprints' file, not from the 38 rows that each becomes
+    pairs = side(0, "a").hint("merge").join(side(1, "b"), "key").where(near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -145,7 +146,8 @@ def near_duplicates(
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``."""
     rows = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     comps = fingerprint_components(rows, max_bits)
-    out = rows.join(comps, "fp")
+    # every fp has a component; left, since many rows of few fingerprints make a small file but a large broadcast
+    out = rows.join(comps, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
