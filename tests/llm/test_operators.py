@@ -520,6 +520,15 @@ def test_pii_plan_has_no_python(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
 
 
+def test_pii_broadcasts_no_mentions(spark):
+    # each text holds the same few addresses many times
+    texts = [f"text {i} " + " ".join(f"10.0.{i % 3}.{k % 5}" for k in range(200)) for i in range(300)]
+    got = pii.replace_entities(docs_of(spark, texts), KEY)
+    assert not [p for p in broadcast_parts(got) if "Generate" in p]
+    rows = got.collect()
+    assert len(rows) == 300 and all(r.n_entities == 200 and "10.0." not in r.text for r in rows)
+
+
 # ------------------------------------------------------------- neighbours
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(6)

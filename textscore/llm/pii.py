@@ -304,7 +304,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     surrogates = assign_surrogates(kinds.select("kind", "form").distinct(), key)
     told = kinds.join(surrogates, ["kind", "form"]).select("mention", render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
     k, new = free_name(docs, "_k"), free_name(docs, "_new")
-    places = mentions.join(told, "mention").groupBy(F.col("_k").alias(k)).agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias(new))
+    # every mention is told; left, since many mentions of few entities make a small file but a large broadcast
+    places = mentions.join(told, "mention", "left").groupBy(F.col("_k").alias(k)).agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias(new))
     joined = docs.withColumn(k, place(text)).join(places, k, "left")
     pieces = F.zip_with(F.split(text, ENTITY, -1), F.col(f"{new}.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     columns = {text_col: F.when(F.col(new).isNull(), text).otherwise(F.array_join(pieces, ""))}
